@@ -1,0 +1,46 @@
+"""Tables written to the folder that driver and executors share, used to cut lineage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _own_folder is None:
+        _own_folder = "file://" + tempfile.mkdtemp(prefix="terralane-")
+    return _own_folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder; return the table as read again, and its path."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
