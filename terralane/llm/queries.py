@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, tokens
+from . import chat, mixing, packing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), max_len=2048)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op4_token_counts, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op4_token_counts, op7_best_fit_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
