@@ -1,0 +1,37 @@
+"""Connected components of a graph of links, by rounds of joins with tables written between them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import materialize, remove
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for each node of ``links``; component is the smallest node that can be reached.
+
+    Alternating large-star and small-star rounds: every node's larger, then smaller, neighbours are linked to its smallest one
+    until nothing changes.  The number of links never grows, and a hub's links are spread over its neighbours, so no round
+    gathers them in one row.
+    """
+    spark = links.sparkSession
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
+    edges, path = materialize(edges, "edges")
+    while True:
+        # Large star: link each node's larger neighbours to the smallest of the node and its neighbours.
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # Small star: link each node's smaller neighbours, and itself, to the smallest of them.
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lows, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        new, new_path = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        state = lambda e: e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        same = state(new) == state(edges)
+        remove(spark, path)
+        edges, path = new, new_path
+        if same:
+            break
+    roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
