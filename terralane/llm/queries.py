@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dedup, fingerprints, mixing, packing, quality, tokens
+from . import chat, dedup, fingerprints, lm, mixing, packing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.over_limit(tokens.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")), 1024)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), max_len=2048)
 
@@ -45,7 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op4_token_counts, op7_best_fit_packing, op8_near_duplicates, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op4_token_counts, op5_lm_scoring, op7_best_fit_packing, op8_near_duplicates, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
