@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dedup, fingerprints, lm, mixing, packing, quality, tokens
+from . import chat, classifier, dedup, fingerprints, licenses, lm, mixing, packing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.over_limit(tokens.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")), 1024)
 
@@ -32,6 +36,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), max_len=2048)
 
@@ -49,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op4_token_counts, op5_lm_scoring, op7_best_fit_packing, op8_near_duplicates, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_license_scan, op4_token_counts, op5_lm_scoring, op6_quality_classifier, op7_best_fit_packing, op8_near_duplicates, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
