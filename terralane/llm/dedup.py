@@ -322,21 +322,28 @@ def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) ->
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their k-word shingle sets.
 
-    Returns *keep, doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included) and kept (doc_id =
-    component_id).  Documents without words or text are linked with nothing.  Rows of a null id take part only through rows of
-    the same set that have one; otherwise their component is null and they are kept.  Repeated rows have one component each;
-    a doc_id repeated with other texts may have several.  Ties go to the smallest id.  An empty table gives no rows, columns
-    of other names are left out unless named in ``keep``.
+    Returns *keep, doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included), kept (doc_id =
+    component_id) and one (true for a single row of each group, one that is kept; the rows' order in storage breaks ties
+    between repeated rows).  Documents without words or text are linked with nothing.  Rows of a null id take part only
+    through rows of the same set that have one; otherwise their component is null and they are kept.  Repeated rows have one
+    component; a doc_id repeated with other texts may have several.  An empty table gives no rows, columns of other names are
+    left out unless named in ``keep``.
     """
-    table, _ = materialize(sketches(df, k, keep), "sketches")
+    keep = tuple(c for c in keep if c != "doc_id")
+    table, _ = materialize(sketches(df, k, keep).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     table = table.withColumn("cls", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2", "n_shingles")))
     grouped = table.where("d1 is not null and doc_id is not null").groupBy("cls")
     classes, _ = materialize(grouped.agg(F.min("doc_id").alias("rep"), F.first("d1").alias("d1"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
     found = class_components(df, classes, k, percent)
     comp = F.coalesce("component", "cls")
     mapped = classes.select("cls", "rep").join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", comp.alias("component"))
-    names = mapped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named, _ = materialize(mapped.join(names, "component").select("cls", "component_id"), "named")
+    names, _ = materialize(mapped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct("rep", "cls")).alias("head")), "names")
+    # The row that stands for a group: the first of its head class's rows with the group's id.
+    heads = table.select("cls", "doc_id", "_row").join(names.select(F.col("head").alias("cls"), "component_id"), "cls").where("doc_id = component_id")
+    firsts = heads.groupBy("cls").agg(F.min("_row").alias("first_row"))
+    named = mapped.join(names.drop("head"), "component").select("cls", "component_id").join(firsts, "cls", "left")
+    named, _ = materialize(named, "named")
     out = table.join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(*[c for c in keep if c != "doc_id"], "doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    one = F.when(F.col("cls").isNull() | F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("_row") == F.col("first_row"), F.lit(False)))
+    return out.select(*keep, "doc_id", "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))

@@ -84,19 +84,42 @@ def thresholds(docs: DataFrame, goals: DataFrame, source: str = "_s") -> DataFra
     return state.select(source, "copies", F.when(nearer, F.col("lead")).otherwise(F.col("lead") - 1).alias("last"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """How often the mix takes each document: doc_id, size, source_size, target, taken (words, repeats counted), copies, *keep.
-
-    Rows of one source and id share a hash, so they are taken together; a null source is one of its own, null ids hash like
-    an empty string, a null text has size 0 and takes 0 words (it goes with its hash).  An empty table gives no rows.
-    """
-    docs, _ = materialize(df.select(F.col(doc_id).alias("doc_id"), F.struct(F.col(source).alias("v")).alias("_s"), word_count(text).alias("size"), place_hash(doc_id).alias("hash"), *keep), "mix-sizes")
+def plan(docs: DataFrame) -> DataFrame:
+    """From (_s, size, hash), one row per source: _s (a struct that holds the source), source_size, target, copies, last."""
     sizes, _ = materialize(docs.groupBy("_s").agg(F.sum("size").alias("source_size")), "mix-sources")
     goals = targets(sizes.withColumn("_v", F.col("_s.v")), "_v").withColumn("_s", F.struct(F.col("_v").alias("v"))).drop("_v")
     goals, _ = materialize(goals, "mix-targets")
     limits = thresholds(docs, goals)
-    copies = (F.col("copies") + F.when(F.col("hash") <= F.col("last"), 1).otherwise(0)).cast("long")
-    return docs.join(goals, "_s").join(limits, "_s").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *keep)
+    return materialize(goals.join(limits, "_s"), "mix-plan")[0]
+
+
+def narrow(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """What a plan needs of each document, written to the shared folder: doc_id, _s, size, hash."""
+    return materialize(df.select(F.col(doc_id).alias("doc_id"), F.struct(F.col(source).alias("v")).alias("_s"), word_count(text).alias("size"), place_hash(doc_id).alias("hash")), "mix-sizes")[0]
+
+
+def _copies(hash_: Column) -> Column:
+    return (F.col("copies") + F.when(hash_ <= F.col("last"), 1).otherwise(0)).cast("long")
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """How often the mix takes each document: doc_id, size, source_size, target, taken (words, repeats counted), copies.
+
+    Rows of one source and id share a hash, so they are taken together; a null source is one of its own, null ids hash like
+    an empty string, a null text has size 0 and takes 0 words (it goes with its hash).  Other columns are not read.  An empty
+    table gives no rows.
+    """
+    docs = narrow(df, doc_id, text, source)
+    copies = _copies(F.col("hash"))
+    return docs.join(plan(docs), "_s").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it.  The plan is joined by source; no text is shuffled for it."""
+    limits = plan(narrow(df, doc_id, text, source))
+    joined = df.withColumn("_s", F.struct(F.col(source).alias("v"))).join(limits, "_s")
+    times = F.explode(F.array_repeat(F.lit(0), _copies(place_hash(doc_id)).cast("int"))).alias("_time")
+    return joined.select(*df.columns, times).drop("_time")
 
 
 ORACLE_SQL = r"""
