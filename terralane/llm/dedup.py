@@ -9,8 +9,8 @@
    member.  A joint maximum-likelihood estimate of the registers drops hopeless pairs, and the rest are verified on the full
    sets of shingles.
 4. Verified links are joined to components.  Where a group still spans components, its members outside the group's main
-   component are compared with all members of other components, in blocks of bounded size; what the estimate lets through is
-   verified too.  So no link between components is lost, and copies are never expanded into all pairs.
+   component are compared with all members of other components, in blocks of bounded size, until a link joins the two; such
+   links are verified too.  So no two components stay apart that share a link, and copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .graph import components
-from .storage import materialize
+from .storage import materialize, remove
 
 REGISTERS, BAND = 256, 6
 #: A register says how many times the unit shrinks by this factor before it reaches the smallest value.
@@ -34,7 +34,9 @@ BASE = 1.1
 OFFSET = 40
 #: Estimates under this share of the wanted similarity are not verified: at 256 registers, 4 standard deviations below.
 SLACK = 0.875
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 1000
+#: Similarity from 32-bit hashes is within this of the true one.
+UNSURE = 0.005
 #: Orders by which a group's representatives are chosen: class ids xor each of these.
 ORDERS = (0, 0x3C6EF372FE94F82B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC908)
 
@@ -169,19 +171,24 @@ def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select("doc_id", "text", *keep).mapInArrow(make, schema)
 
 
+def band_keys(reg: np.ndarray) -> np.ndarray:
+    """A hash for each band of each row of registers."""
+    count = REGISTERS // BAND
+    cut = reg[:, : count * BAND].reshape(len(reg), count, BAND)
+    key = np.zeros((len(reg), count), np.uint64)
+    for j in range(BAND):
+        key = key << np.uint64(8) | cut[:, :, j]
+    return words.mix(key ^ (np.arange(count, dtype=np.uint64) << np.uint64(56))).view(np.int64)
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """(cls, band): a hash for each band of a class's registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = REGISTERS // BAND
         for batch in batches:
-            n = batch.num_rows
-            reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, REGISTERS)[:, : count * BAND].reshape(n, count, BAND)
-            key = np.zeros((n, count), np.uint64)
-            for j in range(BAND):
-                key = key << np.uint64(8) | reg[:, :, j]
-            key = words.mix(key ^ (np.arange(count, dtype=np.uint64) << np.uint64(56)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), count)), pa.array(key.reshape(-1).view(np.int64))], ["cls", "band"])
+            reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, REGISTERS)
+            key = band_keys(reg)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), key.shape[1])), pa.array(key.reshape(-1))], ["cls", "band"])
 
     return classes.select("cls", "registers").mapInArrow(make, "cls long, band long")
 
@@ -241,20 +248,41 @@ def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, k: int, percen
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    named = classes.select("cls", "rep", "d1").join(needed, "cls", "left_semi")
-    texts = df.select("doc_id", "text").join(named, F.col("doc_id") == F.col("rep"))
-    texts = texts.groupBy("cls", "d1", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
+    texts = class_texts(df, classes.select("cls", "rep", "d1").join(needed, "cls", "left_semi"))
     side = lambda s: texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}"), F.col("d1").alias(f"d_{s}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b", "d_a", "d_b").mapInArrow(keep, "a long, b long").distinct()
 
 
-def across(groups: DataFrame, classes: DataFrame, least: float, top: int) -> DataFrame:
-    """Pairs (a, b) of different components in one band's group, estimated at ``least`` or more, and whether some were left out.
+def class_texts(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, d1, text) of the smallest document of each of these classes (cls, rep, d1), once per different text."""
+    texts = df.select("doc_id", "text").join(classes, F.col("doc_id") == F.col("rep"))
+    return texts.groupBy("cls", "d1", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
+
+
+def short_sets(df: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles): each class's sorted shingle hashes, cut to 32 bits."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(1).to_pylist()
+            for first, shingle, bounds in shingle_sets(batch.column(2), k):
+                rows = [i for i in range(len(bounds) - 1) if set_digest(shingle[bounds[i] : bounds[i + 1]]) == wanted[first + i]]
+                cut = [np.unique((shingle[bounds[i] : bounds[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([first + i for i in rows], pa.int64())), pa.array(cut, pa.binary())], ["cls", "shingles"])
+
+    return class_texts(df, classes).select("cls", "d1", "text").mapInArrow(make, "cls long, shingles binary").dropDuplicates(["cls"])
+
+
+def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may join different components of one band's group.
 
     ``groups``: (band, cls, component) of groups with several components.  Members outside the group's largest component are
-    dealt into blocks, as are all members; each block of the first meets each of the second in a group of bounded size.  There
-    a member gives, with each other component, its ``top`` pairs by estimate; ``cut`` says that it had more.
+    dealt into blocks, as are all members; each block of the first meets each of the second in a group of bounded size.  A
+    pair is looked at in the first band that it shares.  Pairs whose registers allow it are compared by their sets of 32-bit
+    hashes, likeliest first; once one is surely linked, others that would join the same two components are left, as they
+    change nothing.  Pairs too close to tell come out too; all are verified on full sets later.
     """
+    least = percent / 100 * SLACK
     by = Window.partitionBy("band", "component")
     sized = groups.withColumn("n", F.count("*").over(by))
     main = sized.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("all"))
@@ -264,59 +292,74 @@ def across(groups: DataFrame, classes: DataFrame, least: float, top: int) -> Dat
     every = lambda c: F.sequence(F.lit(0), (cells(c) - 1).cast("int"))
     as_member = rows.select("band", F.explode(every("odds")).alias("i"), home("all").alias("j"), "cls", "component", F.lit(0).alias("side"))
     as_odd = rows.where("odd").select("band", home("odds").alias("i"), F.explode(every("all")).alias("j"), "cls", "component", F.lit(1).alias("side"))
-    dealt = as_member.unionByName(as_odd).join(classes.select("cls", "n_shingles", "registers"), "cls")
+    dealt = as_member.unionByName(as_odd).join(classes.select("cls", "n_shingles", "registers").join(sets, "cls"), "cls")
     need = int(REGISTERS * least * 0.9)  # registers agree at least about as often as the similarity says
+    count = REGISTERS // BAND
 
     def compare(table: pa.Table) -> pa.Table:
-        side, cls, comp, size = (np.asarray(table[c]) for c in ("side", "cls", "component", "n_shingles"))
+        side, cls, comp, size, band = (np.asarray(table[c]) for c in ("side", "cls", "component", "n_shingles", "band"))
         reg = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(len(cls), REGISTERS)
+        own = [np.frombuffer(x, np.uint32) for x in table["shingles"].to_pylist()]
         members = np.flatnonzero(side == 0)
-        a, b, cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        here = band_keys(reg[members[:1]]) == band[0] if len(members) else np.zeros((1, count), bool)
+        before = int(np.argmax(here)) * BAND  # registers of the bands before this one
+        root = {int(c): int(c) for c in np.unique(comp)}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
         for x in np.flatnonzero(side == 1).tolist():
             other = members[comp[members] != comp[x]]
-            other = other[(reg[other] == reg[x]).sum(axis=1) >= need]
+            equal = reg[other] == reg[x]
+            fits = equal.sum(axis=1) >= need
+            other, equal = other[fits], equal[fits]
+            if before:
+                other = other[~equal[:, :before].reshape(len(other), before // BAND, BAND).all(axis=2).any(axis=1)]
             if not len(other):
                 continue
             n = len(other)
             like = similarity(np.broadcast_to(reg[x], (n, REGISTERS)), reg[other], np.full(n, float(size[x])), size[other].astype(float))
-            other, like = other[like >= least], like[like >= least]
-            order = np.lexsort((-like, comp[other]))
-            other = other[order]
-            starts = np.searchsorted(comp[other], comp[other])
-            first = np.arange(len(other)) - starts < top
-            a.append(np.minimum(cls[other[first]], cls[x]))
-            b.append(np.maximum(cls[other[first]], cls[x]))
-            cut.append(np.full(int(first.sum()), not first.all()))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "cut": np.concatenate(cut)})
+            for y in other[np.argsort(-like, kind="stable")][: int((like >= least).sum())].tolist():
+                if top(int(comp[x])) == top(int(comp[y])):
+                    continue
+                common = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                share = common / (len(own[x]) + len(own[y]) - common)
+                if share >= percent / 100 - UNSURE:
+                    a.append(min(cls[x], cls[y]))
+                    b.append(max(cls[x], cls[y]))
+                if share >= percent / 100 + UNSURE:
+                    root[top(int(comp[x]))] = top(int(comp[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have verified links."""
-    least = percent / 100 * SLACK
-    banded, _ = materialize(bands(classes), "bands")
+    spark = df.sparkSession
+    banded, banded_path = materialize(bands(classes), "bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members, _ = materialize(banded.join(shared, "band"), "members")
-    tested, _ = materialize(estimated(stars(members), classes, least), "pairs")
+    remove(spark, banded_path)
+    tested, _ = materialize(estimated(stars(members), classes, percent / 100 * SLACK), "pairs")
     links, _ = materialize(verified(tested, classes, df, k, percent), "links")
     found, _ = materialize(components(links), "components")
     # Groups that still span components: their members outside the main one, against all others.
-    top = 4
-    while True:
-        several = members.where("n > 2").join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
-        spans = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-        groups, _ = materialize(several.join(spans, "band", "left_semi"), "spanning")
-        pairs, _ = materialize(across(groups, classes, least, top), "cross-pairs")
-        new, _ = materialize(pairs.join(tested, ["a", "b"], "left_anti").select("a", "b"), "cross-new")
-        if not new.isEmpty():
-            more, _ = materialize(verified(new, classes, df, k, percent), "cross-links")
-            tested, links = tested.unionByName(new), links.unionByName(more)
-            if not more.isEmpty():
-                found, _ = materialize(components(links), "components")
-        if pairs.where("cut").isEmpty():
-            return found
-        top *= 8
+    several = members.join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
+    spans = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
+    groups, _ = materialize(several.join(spans, "band", "left_semi"), "spanning")
+    if groups.isEmpty():
+        return found
+    inside = classes.select("cls", "rep", "d1").join(groups.select("cls").distinct(), "cls", "left_semi")
+    sets, _ = materialize(short_sets(df, inside, k), "sets")
+    pairs, _ = materialize(across(groups, classes, sets, percent), "cross-pairs")
+    if pairs.isEmpty():
+        return found
+    more, _ = materialize(verified(pairs, classes, df, k, percent), "cross-links")
+    return materialize(components(links.unionByName(more)), "components")[0]
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
