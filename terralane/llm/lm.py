@@ -344,8 +344,8 @@ def train(docs: DataFrame, text: str = "text") -> Trie:
 def score(docs: DataFrame, model: Trie, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """*keep, n_tokens, n_known, train_tokens, base_score, score of each whole text (null: empty, so its end token alone)."""
     names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join([*kept, "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = model.words
