@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terralane.llm import classifier, dedup, mixing, packing, quality
-from terralane.llm.storage import materialize
+from terralane.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

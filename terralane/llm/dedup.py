@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import materialize, remove
 from . import words
-from .graph import components
-from .storage import materialize, remove
 
 REGISTERS, BAND = 256, 6
 #: A register says how many times the unit shrinks by this factor before it reaches the smallest value.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize, shuffle_partitions
+from ..storage import materialize, shuffle_partitions
 from .words import joined, mix, row_slices
 
 BUCKETS = 128

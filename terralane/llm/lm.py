@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import new_path, shuffle_partitions
 from . import words
 from .eliasfano import Sequence, encode, pack, unpack
-from .storage import new_path, shuffle_partitions
 
 DISCOUNT = 0.75
 #: log10 probabilities from -SCALE_FLOOR to 0 in 255 equal steps.
