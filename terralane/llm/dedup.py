@@ -390,3 +390,17 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[st
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     one = F.when(F.col("cls").isNull() | F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("_row") == F.col("first_row"), F.lit(False)))
     return out.select(*keep, "doc_id", "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))
+
+
+#: Rows of near_duplicates(k=2, percent=80) for tables whose ids are unique.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept, m.doc_id = component_id AS one FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""
