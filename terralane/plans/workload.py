@@ -13,7 +13,7 @@ from ..functions.geometry import crossing, direction, fold_angle
 from ..functions.ranking import pct_ranks, robust_0_to_1
 from ..functions.reports import coordinates, report_date, route_tokens
 from ..operators import candidates as cand
-from ..operators import discovery, evaluate, export, feedback, labels, metrics, observations, pointqc, raster, scoring
+from ..operators import discovery, evaluate, export, feedback, labels, metrics, observations, pointqc, raster, scoring, serving
 from ..operators import features as feat
 from ..operators.spatial import clusters, grid_join, nearest, thin
 from .inputs import FEATURES, KNOWN, LINES, OBSERVATIONS, SCORED, SITES, pct_sql, segment_distance_sql, table
@@ -346,6 +346,38 @@ def ui_filter_search(spark, d):
     return f.where((F.col("is_culvert") == 0) & (F.col("score") >= 4000) & hit).select("candidate_id")
 
 
+@query(f"""WITH {FEATURES}, a AS (SELECT candidate_id, 1 AS v FROM features WHERE row % 2 = 0), b AS (SELECT candidate_id, 2 AS v FROM features WHERE row % 3 = 0) SELECT candidate_id, max(v) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+def union_by_id(spark, d):
+    f = feature_table(spark, d)
+    return serving.union_by_id(f.where("row % 2 = 0").select("candidate_id", F.lit(1).alias("v")), f.where("row % 3 = 0").select("candidate_id", F.lit(2).alias("v")))
+
+
+@query(f"""WITH {FEATURES}, m AS (SELECT candidate_id, row, 2*6371008.8*atan2(sqrt(a), sqrt(1-a)) AS d FROM (SELECT candidate_id, row, power(sin(radians(latitude-41.9)/2),2)+cos(radians(41.9))*cos(radians(latitude))*power(sin(radians(longitude+74.0)/2),2) AS a FROM features))
+SELECT candidate_id, round(d, 3) AS d FROM m ORDER BY round(d, 6), row LIMIT 250""")
+def list_order(spark, d):
+    f = feature_table(spark, d).withColumn("rank", F.col("row"))
+    return serving.listed(f, 41.9, -74.0).select("candidate_id", F.round("distance_to_user_m", 3).alias("d"))
+
+
+@query(f"""WITH {OBSERVATIONS} SELECT count(*) AS observations, count(*) FILTER (status = 'confirmed_culvert') AS confirmed_culverts, count(*) FILTER (status = 'no_culvert') AS denied_culverts, count(*) FILTER (status NOT IN ('confirmed_culvert', 'no_culvert')) AS uncertain FROM observations""")
+def status_counts(spark, d):
+    return serving.status_counts(observation_log(spark, d))
+
+
+@query(f"""WITH {FEATURES} SELECT candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY is_culvert, floor(x/66), floor(y/66) ORDER BY row*37%10001, row) AS n FROM features) WHERE n = 1 OR is_culvert""")
+def canvas_declutter(spark, d):
+    f = feature_table(spark, d).withColumns({"rank": F.col("row") * 37 % 10001, "score": F.lit(0.0), "px": F.col("x"), "py": F.col("y")})
+    return serving.on_canvas(f, 14, F.col("is_culvert") == 1).select("candidate_id")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'route ' || (s_suppkey % 90) || 'w' WHEN 1 THEN 'county road ' || (s_suppkey % 90) ELSE 'mill ln 5' END AS search_text FROM supplier""")
+def search_text(spark, d):
+    k = F.col("s_suppkey")
+    n = (k % 90).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("US-"), n, F.lit("W"))).when(k % 3 == 1, F.concat(F.lit("Co Rd  "), n)).otherwise("Mill Ln. #5")
+    return table(spark, d, "supplier").select("s_suppkey", serving.search_text(name).alias("search_text"))
+
+
 # --- Text ---------------------------------------------------------------------------------------------------------------
 
 
