@@ -1,7 +1,7 @@
 """Ranks over a whole table without a window over a single partition.
 
-Values are cut into ranges at quantiles from one aggregate; counts by range give each range its first rank, and only within a
-range are rows ordered.
+Rows are dealt into ranges of the value; counts by range give each range its first rank, and only within a range are rows
+ordered.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, shuffle_partitions
 from .columns import number
 
 RANGES = 64
@@ -66,16 +66,18 @@ def percentile(rank: str) -> Column:
 
 
 def global_rank(df: DataFrame, lead: Column, order: list[Column], name: str = "rank") -> DataFrame:
-    """Number all rows from 1 by ``lead`` (a double, falling, nulls last) and then ``order``, which must make it total."""
-    lead = F.coalesce(number(lead), F.lit(float("-inf")))
-    bounds, _ = value_ranges(df, {"lead": lead})
-    cell = _cell(lead, [b for b in bounds["lead"] if b != float("-inf")])
-    rows = df.withColumn("_lead", lead).withColumn("_cell", cell)
-    totals = rows.groupBy("_cell").agg(F.count("*").alias("_t"))
-    above = Window.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_cell", F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_from"))  # one row per range
-    within = Window.partitionBy("_cell").orderBy(F.col("_lead").desc(), *order)
-    return rows.join(F.broadcast(starts), "_cell").withColumn(name, (F.col("_from") + F.row_number().over(within)).cast("long")).drop("_lead", "_cell", "_from")
+    """Number all rows from 1 by ``lead`` (a double, falling, nulls last) and then ``order``, which must make it total.
+
+    Rows are dealt by ranges of the whole key, so a value of ``lead`` that many rows share still fills several ranges; the
+    ranges' sizes, from the table as written, give each range's first number.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    rows = df.withColumn("_lead", F.coalesce(number(lead), F.lit(float("-inf"))))
+    placed, _ = materialize(rows.repartitionByRange(parts, F.col("_lead").desc(), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_from"))  # one row per range
+    within = Window.partitionBy("_part").orderBy(F.col("_lead").desc(), *order)
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_from") + F.row_number().over(within)).cast("long")).drop("_lead", "_part", "_from")
 
 
 def robust_0_to_1(df: DataFrame, column: str, name: str) -> DataFrame:

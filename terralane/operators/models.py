@@ -141,6 +141,46 @@ def evaluate_split(split: DataFrame, columns: list[str], family: str, target: st
     return found | {"precision_floor_60": floor.asDict() if floor else None, "top_k": [r.asDict() for r in metrics.top_k(scored).orderBy("k").collect()]}
 
 
+def prior(df: DataFrame, target: str = "is_culvert") -> float:
+    """The baseline: the weighted share of positives, the same for every row."""
+    w = with_weights(df, target, False).agg(F.sum(F.col("_w") * F.col(target)), F.sum("_w")).first()
+    return w[0] / w[1] if w[1] else 0.0
+
+
+def cross_validated(df: DataFrame, columns: list[str], family: str, target: str, row_id: str, k: int = 5) -> dict:
+    """Means over stratified folds (at most ``k``, at most the rarer class's rows) of the metrics that have a value."""
+    rarer = min(r["count"] for r in df.groupBy(target).count().collect())  # one row per class
+    k = min(k, rarer)
+    if k < 2:
+        return {}
+    rows = folds(df, k, row_id, target)
+    found = [evaluate_split(rows.withColumn("is_test", F.col("fold") == i), columns, family, target, row_id) for i in range(k)]
+    mean = lambda name: (lambda v: sum(v) / len(v) if v else None)([f[name] for f in found if f[name] is not None])
+    return {name: mean(name) for name in ("accuracy", "precision", "recall", "f1", "average_precision", "brier_score", "roc_auc")}
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], target: str, row_id: str, repeats: int = 10, seed: int = 42) -> list[tuple[str, float]]:
+    """How much average precision falls when a column's values are dealt anew among the rows, as a share of all falls.
+
+    Values are dealt by joining ranks: a row's rank by id with another row's rank by the hash of its id.
+    """
+    def precision(t: DataFrame) -> float:
+        scored = model.transform(prepared(t, columns)).select(F.col(target).alias("target"), vector_to_array("probability")[1].alias("probability"))
+        return metrics.binary_metrics(scored).first()["average_precision"]
+
+    u = lambda n: F.xxhash64(F.col(row_id), F.lit(seed + n)).cast("double")
+    base, falls = precision(df), {}
+    ranked = global_rank(df, u(-1), [F.col(row_id)], "_rank")
+    for c in columns:
+        drops = []
+        for n in range(repeats):
+            other = global_rank(df.select(row_id, F.col(c).alias("_other")), u(n), [F.col(row_id)], "_rank").select("_rank", "_other")
+            drops.append(base - precision(ranked.join(other, "_rank").withColumn(c, F.col("_other"))))
+        falls[c] = max(0.0, sum(drops) / len(drops))
+    total = sum(falls.values()) or 1.0
+    return sorted(((c, v / total) for c, v in falls.items()), key=lambda x: (-x[1], x[0]))
+
+
 def train(df: DataFrame, target: str = "is_culvert", row_id: str = "candidate_id", family: str = "auto") -> tuple[PipelineModel, dict]:
     """Compare families if asked, hold out at random and by space, refit on all rows."""
     columns = feature_columns(df, target)
@@ -148,8 +188,8 @@ def train(df: DataFrame, target: str = "is_culvert", row_id: str = "candidate_id
     if family == "auto":
         def quality(f: str) -> tuple:
             s = evaluate_split(spatial, columns, f, target, row_id) if spatial is not None else {}
-            r = evaluate_split(random_, columns, f, target, row_id) if random_ is not None else {}
-            return tuple(-1 if v is None else v for v in (s.get("average_precision"), r.get("average_precision"), r.get("f1")))
+            c = cross_validated(df, columns, f, target, row_id)
+            return tuple(-1 if v is None else v for v in (s.get("average_precision"), c.get("average_precision"), c.get("f1")))
         family = max(FAMILIES, key=quality)
     report = {"family": family, "feature_columns": columns, "fill_value": FILL, "class_counts": {str(r[target]): r["count"] for r in df.groupBy(target).count().collect()}}
     report["random_holdout"] = evaluate_split(random_, columns, family, target, row_id) if random_ is not None else None

@@ -157,6 +157,9 @@ def test_feature_columns_and_models(spark):
     model, report = models.train(df, family="logistic")
     assert report["random_holdout"]["roc_auc"] > 0.9 and report["spatial_holdout"] and report["operating_threshold"]["source"] == "spatial_holdout"
     assert [r["priority_rank"] for r in models.predict(df, model, ["a", "b"]).orderBy("priority_rank").limit(3).collect()] == [1, 2, 3]
+    assert models.cross_validated(df, ["a", "b"], "logistic", "is_culvert", "candidate_id", 2)["average_precision"] > 0.9
+    assert models.permutation_importance(model, df, ["a", "b"], "is_culvert", "candidate_id", 1)[0][0] == "a"
+    assert models.prior(df) == pytest.approx(24 / 60)
     assert models.random_holdout(df.limit(5), "candidate_id", "is_culvert") is None
     assert {r["fold"] for r in models.folds(df, 5, "candidate_id", "is_culvert").select("fold").distinct().collect()} == set(range(5))
     with pytest.raises(ValueError):
