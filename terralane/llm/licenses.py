@@ -2,10 +2,10 @@
 
 A text's words (runs of letters and digits, lower case) are cut into 5-word shingles, and these into blocks; two neighbouring
 blocks are a window, so any notice of up to a block's length lies whole in some window.  Windows and templates have ROWS minima
-each, one per hash order, and every minimum is a band of its own.  A window that holds a share c of a template's shingles has,
-with window and template of w and t shingles, similarity of at least c t / (w + t - c t), so it meets the template in some band
-with probability 1 - (1 - that) ** ROWS; blocks come in several sizes so that templates are not lost in windows much longer
-than themselves.  Windows that meet a template are verified: at least CONTAINED of its shingles must be in the window.
+each, one per hash order, and every minimum is a band of its own.  A template is looked for in windows of the least block size
+that holds it, so of B/2 to B shingles in windows of 2 B; a window that holds 0.8 of it has similarity of at least 0.19, and
+meets it in some of 64 bands with probability 1 - 1.4e-6 or more (two windows hold most notices).  Windows that meet a template
+are verified: at least CONTAINED of its shingles must be in the window.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import words
 
 SHINGLE, CONTAINED, ROWS = 5, 0.8, 64
-BLOCKS = (8, 32, 128)
+BLOCKS = (2, 4, 8, 16, 32, 64, 128)
 
 # Public license notices, by SPDX name.
 TEMPLATES = {
@@ -70,29 +70,38 @@ class Matcher:
 
     def scan(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(row, template, first shingle of the window, containment) of verified windows."""
-        for size in sorted(set(self.block)):
-            mine = [t for t, s in enumerate(self.block) if s == size]
-            n = np.diff(bounds)
+        if not len(h):
+            return
+        n, sizes = np.diff(bounds), [s for s in BLOCKS if s <= max(self.block)]
+        row, start, last, below = {}, {}, {}, {}
+        for size in sizes:
             per_row = -(-n // size)
-            row = np.repeat(np.arange(len(n)), per_row)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-            start = bounds[row] + k * size
-            if not len(start):
-                continue
-            last = np.append(row[1:] != row[:-1], True)
-            hit = np.zeros((len(mine), len(start)), bool)
-            for r in range(ROWS):
-                low = np.minimum.reduceat((h ^ np.uint64(r)) * _ODD[r], start)
-                window = low.copy()
-                window[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
-                for i, t in enumerate(mine):
-                    hit[i] |= window == self.minima[t, r]
-            for i, t in enumerate(mine):
-                for w in np.flatnonzero(hit[i]).tolist():
-                    stop = min(start[w] + 2 * size, bounds[row[w] + 1])
-                    share = len(np.intersect1d(self.sets[t], h[start[w] : stop])) / len(self.sets[t])
+            first = np.cumsum(per_row) - per_row
+            row[size] = np.repeat(np.arange(len(n)), per_row)
+            k = np.arange(len(row[size])) - np.repeat(first, per_row)
+            start[size] = bounds[row[size]] + k * size
+            last[size] = np.append(row[size][1:] != row[size][:-1], True)
+            # A block's minimum is that of its two halves, blocks of the size before.
+            below[size] = start[size] if size == sizes[0] else before[row[size]] + 2 * k
+            before = first
+        mine = {size: [t for t, s in enumerate(self.block) if s == size] for size in sizes}
+        hit = {size: np.zeros((len(mine[size]), len(start[size])), bool) for size in sizes}
+        for r in range(ROWS):
+            low = (h ^ np.uint64(r)) * _ODD[r]
+            for size in sizes:
+                low = np.minimum.reduceat(low, below[size])
+                if mine[size]:
+                    window = low.copy()
+                    window[:-1] = np.where(last[size][:-1], low[:-1], np.minimum(low[:-1], low[1:]))
+                    for i, t in enumerate(mine[size]):
+                        hit[size][i] |= window == self.minima[t, r]
+        for size in sizes:
+            for i, t in enumerate(mine[size]):
+                for w in np.flatnonzero(hit[size][i]).tolist():
+                    stop = min(start[size][w] + 2 * size, bounds[row[size][w] + 1])
+                    share = len(np.intersect1d(self.sets[t], h[start[size][w] : stop])) / len(self.sets[t])
                     if share >= CONTAINED:
-                        yield int(row[w]), t, int(start[w] - bounds[row[w]]), share
+                        yield int(row[size][w]), t, int(start[size][w] - bounds[row[size][w]]), share
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -120,3 +129,27 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
                 )
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(find, schema)
+
+
+def _block_of(text: str) -> int:
+    """The block size of a template: the least that holds its shingles."""
+    n = len(next(shingled(pa.array([text])))[1])
+    return next((s for s in BLOCKS if s >= n), BLOCKS[-1])
+
+
+def oracle_sql() -> str:
+    """Exact containment in the same windows, without retrieval."""
+    rows = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}', {_block_of(text)})" for name, text in TEMPLATES.items())
+    words_of = lambda c: f"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    cut = f"unnest(range(0, len(w) - {SHINGLE - 1})) AS i"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(1, SHINGLE + 1))
+    return f"""
+WITH t(license, text, size) AS (VALUES {rows}),
+ts AS (SELECT DISTINCT license, size, {shingle} AS s FROM (SELECT license, size, w, {cut} FROM (SELECT license, size, {words_of("text")} AS w FROM t))),
+tn AS (SELECT license, count(*) AS n FROM ts GROUP BY 1),
+ds AS (SELECT r, doc_id, i, {shingle} AS s FROM (SELECT r, doc_id, w, {cut} FROM (SELECT row_number() OVER () AS r, doc_id, {words_of("text")} AS w FROM documents))),
+hit AS (SELECT r, doc_id, license, size, i, s FROM ds JOIN ts USING (s)),
+win AS (SELECT *, i // size AS k FROM hit UNION ALL SELECT *, i // size - 1 FROM hit WHERE i >= size),
+c AS (SELECT r, doc_id, license, k * size AS first, count(DISTINCT s) / any_value(n) AS share FROM win JOIN tn USING (license) GROUP BY r, doc_id, license, k, size)
+SELECT doc_id, license, min(first) AS first_word, max(share) AS containment FROM c WHERE share >= {CONTAINED} GROUP BY r, doc_id, license
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL, "op8_near_duplicates": dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL, "op3_license_scan": licenses.oracle_sql(), "op8_near_duplicates": dedup.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
