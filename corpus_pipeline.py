@@ -13,13 +13,13 @@ from terralane.storage import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
-    return quality.apply_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.select(docs, labels, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return classifier.sampled(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

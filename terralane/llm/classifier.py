@@ -120,16 +120,35 @@ def kth_highest(table: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), fit_rows: int = FIT_ROWS) -> DataFrame:
-    """*keep, n_features, log_ratio, gumbel_key and kept of every row of ``docs``.
+def _threshold(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np.ndarray, DataFrame, float]:
+    """The weights, each row's scores (written; without texts), and the last key that is kept."""
+    weights, share = fit(docs, labels, fit_rows)
+    scored, _ = materialize(_keyed(score(docs, weights, ("doc_id",))), "importance")
+    return weights, scored, kth_highest(scored, "gumbel_key", int(round(share * scored.count())))
+
+
+def _keyed(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("gumbel_key", F.col("log_ratio") + gumbel("doc_id"))
+
+
+def select(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, n_features, log_ratio, gumbel_key and kept of every row of ``docs``.
 
     Without labelled documents all ratios are 1 and all rows are kept; an empty table gives no rows.  Rows that tie with the
     last one kept are kept too, so repeated rows share one verdict.  Null ids share one noise value; null and empty texts have
-    ratio 1; columns named like the new ones may not be in ``keep``.
+    ratio 1; other columns are not read.
     """
-    weights, share = fit(docs, labels, fit_rows)
-    own = docs if "doc_id" in keep else docs.withColumn("_id", F.col("doc_id"))
-    columns = keep if "doc_id" in keep else (*keep, "_id")
-    scored, _ = materialize(score(own, weights, columns).withColumn("gumbel_key", F.col("log_ratio") + gumbel("doc_id" if "doc_id" in keep else "_id")), "importance")
-    last = kth_highest(scored, "gumbel_key", int(round(share * scored.count())))
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(last)).select(*keep, "n_features", "log_ratio", "gumbel_key", "kept")
+    _, scored, last = _threshold(docs, labels, fit_rows)
+    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(last)).select("doc_id", "n_features", "log_ratio", "gumbel_key", "kept")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`select` keeps, with all their columns.
+
+    Texts are scored once for the threshold and once more to be filtered, so that no copy of them is written.
+    """
+    weights, _, last = _threshold(docs, labels, fit_rows)
+    names = {c: f"keep_{c}" for c in docs.columns}
+    wide = docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in names.items()])
+    scored = _keyed(score(wide, weights, ("doc_id", *names.values())))
+    return scored.where(F.col("gumbel_key") >= F.lit(last)).select(*[F.col(k).alias(c) for c, k in names.items()])

@@ -342,7 +342,7 @@ def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) ->
     spark = df.sparkSession
     banded, banded_path = materialize(bands(classes), "bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members, _ = materialize(banded.join(shared, "band"), "members")
+    members, members_path = materialize(banded.join(shared, "band"), "members")
     remove(spark, banded_path)
     tested, _ = materialize(estimated(stars(members), classes, percent / 100 * SLACK), "pairs")
     links, _ = materialize(verified(tested, classes, df, k, percent), "links")
@@ -350,12 +350,14 @@ def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) ->
     # Groups that still span components: their members outside the main one, against all others.
     several = members.join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
     spans = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    groups, _ = materialize(several.join(spans, "band", "left_semi"), "spanning")
+    groups, groups_path = materialize(several.join(spans, "band", "left_semi"), "spanning")
+    remove(spark, members_path)
     if groups.isEmpty():
         return found
     inside = classes.select("cls", "rep", "d1").join(groups.select("cls").distinct(), "cls", "left_semi")
-    sets, _ = materialize(short_sets(df, inside, k), "sets")
+    sets, sets_path = materialize(short_sets(df, inside, k), "sets")
     pairs, _ = materialize(across(groups, classes, sets, percent), "cross-pairs")
+    remove(spark, groups_path, sets_path)
     if pairs.isEmpty():
         return found
     more, _ = materialize(verified(pairs, classes, df, k, percent), "cross-links")

@@ -119,6 +119,32 @@ def thresholds(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return limits.groupBy("lang", "source").agg(*columns)
 
 
+def _plain(df: DataFrame, keep: tuple[str, ...], text: str, lang: str, source: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
+
+
+def _judged(found: DataFrame, limits: DataFrame) -> DataFrame:
+    """Add kept: the base rules, and each measure within its group's thresholds (any, if the group has none)."""
+    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = found.join(limits, found["lang"].eqNullSafe(F.col("_lang")) & found["source"].eqNullSafe(F.col("_source")), "left")
+    fits = [F.col(m) <= F.col(f"{m}_most") for m in SLACK] + [F.col(m) >= F.col(f"{m}_least") for m, (_, both) in SLACK.items() if both]
+    verdict = ~F.col("base_failed")
+    for f in fits:
+        verdict = verdict & F.coalesce(f, F.lit(True))
+    return joined.withColumn("kept", verdict)
+
+
+def passing(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``df`` that :func:`apply_rules` keeps, with all their columns.
+
+    Measures are computed twice, once for the thresholds and once for the verdict, so that no copy of the texts is written.
+    """
+    counts, _ = materialize(sketch(with_bins(measured(_plain(df, (), text, lang, source), "_text"))), "quality-sketch")
+    limits, _ = materialize(thresholds(counts), "quality-limits")
+    found = with_bins(measured(_plain(df, tuple(df.columns), text, lang, source), "_text"))
+    return _judged(found, limits).where("kept").select(*[F.col(f"keep_{c}").alias(c) for c in df.columns])
+
+
 def apply_rules(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """*keep, the measures, base_failed and kept of every row of ``df``.
 
@@ -126,17 +152,10 @@ def apply_rules(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     each; an empty table gives no rows; other columns of ``df`` are left out.  Measures are computed once and written with
     ``keep`` to the shared folder; thresholds are one row per (language, source) and joined by Spark's own choice of join.
     """
-    plain = df.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    found, _ = materialize(with_bins(measured(plain, "_text")).drop("_text"), "quality")
+    found, _ = materialize(with_bins(measured(_plain(df, keep, text, lang, source), "_text")).drop("_text"), "quality")
     limits, _ = materialize(thresholds(sketch(found)), "quality-limits")
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = found.join(limits, found["lang"].eqNullSafe(F.col("_lang")) & found["source"].eqNullSafe(F.col("_source")), "left")
-    fits = [F.col(m) <= F.col(f"{m}_most") for m in SLACK] + [F.col(m) >= F.col(f"{m}_least") for m, (_, both) in SLACK.items() if both]
-    verdict = ~F.col("base_failed")
-    for f in fits:
-        verdict = verdict & F.coalesce(f, F.lit(True))
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return joined.select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[c for c in out if c not in keep], verdict.alias("kept"))
+    return _judged(found, limits).select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[c for c in out if c not in keep], "kept")
 
 
 _MEASURES = r"""
