@@ -256,7 +256,15 @@ def candidate_generation(spark, d):
 m AS (SELECT *, unnest(CASE WHEN n > 0 THEN list_transform(range(0, n), lambda i: i*75 + 37.5) ELSE [len/2] END) AS m FROM n), o AS (SELECT *, unnest([0.0, -8.0, 8.0]) AS off FROM m)
 SELECT line, round(m, 4) AS m, off, round(x1 + m/len*(x2-x1) - off * (CASE WHEN y2-y1 > 0 OR (y2 = y1 AND x2 < x1) THEN 1 ELSE CASE WHEN y2 = y1 THEN 1 ELSE -1 END END) * (y2-y1)/len, 3) AS x FROM o""")
 def route_sampling(spark, d):
-    roads = line_table(spark, d, 0).where("line % 10 = 0")
+    return _samples(line_table(spark, d, 0).where("line % 10 = 0"))
+
+
+@query()
+def route_sampling_all(spark, d):
+    return _samples(line_table(spark, d, 0))
+
+
+def _samples(roads: DataFrame) -> DataFrame:
     attrs = roads.select("line", F.concat(F.lit("State Rte "), F.col("line").cast("string")).alias("name"))
     out = cand.route_samples(roads, attrs, interval=75.0, numbered=True, lateral=(0.0, -8.0, 8.0))
     return out.select(F.col("road_id").cast("long").alias("line"), F.round("route_sample_distance_m", 4).alias("m"), F.col("route_lateral_offset_m").alias("off"), F.round("x", 3).alias("x"))
