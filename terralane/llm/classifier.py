@@ -6,7 +6,7 @@ sample of k documents without replacement with probabilities in proportion to th
 are of good quality, times the number of documents.
 
 Both models have BUCKETS counts whatever the corpus, so the weights are safe to send to every executor.  The models' counts
-cover all documents; labels are fitted on at most FIT_ROWS rows, chosen by the hash of their id.
+cover all documents; the target's are fitted on at most FIT_ROWS labels, chosen by the hash of their id, while the share covers all.
 """
 
 from __future__ import annotations
@@ -40,43 +40,49 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, in
         yield block.first, found.astype(np.int64), np.concatenate([row, row[1:][inside]]), len(block)
 
 
-def label_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, good, target) of at most ``fit_rows`` labelled ids; rows without a label or id are left out.
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, target) of all labelled ids; rows without a label or id are left out.
 
     Good: quality 1; target: good and not toxic.  An id that is labelled more than once counts by its lowest quality and
     highest toxicity.
     """
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    rows = rows.select("doc_id", (F.col("q") == 1).alias("good"), ((F.col("q") == 1) & (F.col("t") == 0)).alias("target"))
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows)
+    return rows.select("doc_id", (F.col("q") == 1).alias("good"), ((F.col("q") == 1) & (F.col("t") == 0)).alias("target"))
+
+
+def label_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``fit_rows`` rows of :func:`labelled`."""
+    return labelled(labels).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows)
+
+
+def good_share(docs: DataFrame, labels: DataFrame) -> float:
+    """The share of all labelled documents here that are good (1 if none is labelled)."""
+    share = docs.select("doc_id").join(labelled(labels), "doc_id").agg(F.avg(F.col("good").cast("int"))).first()[0]
+    return 1.0 if share is None else float(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Log ratios by bucket, and the share of the labelled documents here that are good (1 if none is labelled)."""
+    """Log ratios by bucket, and :func:`good_share`."""
     sample, _ = materialize(label_sample(labels, fit_rows), "labels")
     # At most fit_rows rows.
-    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "good", "target")
+    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "target")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS + 2, np.int64), np.zeros(BUCKETS + 2, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            chosen = np.asarray(batch.column(2).fill_null(False))
+            chosen = np.asarray(batch.column(1).fill_null(False))
             for first, bucket, row, _ in features(batch.column(0)):
-                raw[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-                target[:BUCKETS] += np.bincount(bucket[chosen[row + first]], minlength=BUCKETS)
-            raw[BUCKETS] += len(batch) - batch.column(1).null_count
-            target[BUCKETS] += int(np.asarray(batch.column(1).fill_null(False)).sum())
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                target += np.bincount(bucket[chosen[row + first]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": at, "raw": raw[at], "target": target[at]})
 
-    counts = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most BUCKETS + 1 rows
-    raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    counts = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most BUCKETS rows
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = np.asarray(counts["bucket"]).astype(int)
     raw[at], target[at] = np.asarray(counts["raw"]), np.asarray(counts["target"])
-    share = target[BUCKETS] / raw[BUCKETS] if raw[BUCKETS] else 1.0
-    raw, target = raw[:BUCKETS], target[:BUCKETS]
     expected = raw * (target.sum() / max(raw.sum(), 1))
-    return np.log((target + SHRINK) / (expected + SHRINK)), float(share)
+    return np.log((target + SHRINK) / (expected + SHRINK)), good_share(docs, labels)
 
 
 def gumbel(doc_id: str = "doc_id", seed: int = SEED) -> Column:
