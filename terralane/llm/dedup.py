@@ -42,6 +42,8 @@ ORDERS = (0, 0x3C6EF372FE94F82B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC908)
 
 _LEVEL_ENDS = -np.log1p(-np.arange(1, REGISTERS) / REGISTERS)  # register i's value lies in the i-th equally likely slice
 _LEVELS = np.concatenate([[0.0], _LEVEL_ENDS, [np.inf]])
+#: A fixed shuffle of the registers.
+_SHUFFLE = np.argsort(words.mix(np.arange(REGISTERS, dtype=np.uint64)))
 
 
 def _exponential(u: np.ndarray, level: int) -> np.ndarray:
@@ -54,20 +56,23 @@ def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per row the smallest values by register, shape (rows, REGISTERS); inf for a row without elements.
 
     An element gives each register one value, one from each slice of the exponential in rising order, its registers permuted
-    by the element.  Slice by slice, until no later value can be below any register of the row.
+    by the element.  The permutation is two rounds of a step modulo REGISTERS and a fixed shuffle: steps alone would spread a
+    small set's values evenly over the bands.  Slice by slice, until no later value can be below any register of the row.
     """
     rows = len(bounds) - 1
     low = np.full(rows * REGISTERS, np.inf)
     row = np.repeat(np.arange(rows), np.diff(bounds))
     first, step = words.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), words.mix(hashes ^ np.uint64(0x14057B7EF767814F))
-    place, stride = (first & np.uint64(REGISTERS - 1)).astype(np.int64), (step & np.uint64(REGISTERS - 1)).astype(np.int64) | 1
+    part = lambda h, bits: (h >> np.uint64(bits) & np.uint64(REGISTERS - 1)).astype(np.int64)
+    place, stride, turn, spread = part(first, 0), part(step, 0) | 1, part(first, 8), part(step, 8) | 1
     live = np.arange(len(hashes))
     for level in range(REGISTERS):
         if not len(live):
             break
         h = hashes[live] + np.uint64((level * 0x9E3779B97F4A7C15) & words._MASK)
         value = _exponential(words.mix(h), level)
-        at = row[live] * REGISTERS + ((place[live] + level * stride[live]) & (REGISTERS - 1))
+        at = _SHUFFLE[(place[live] + level * stride[live]) & (REGISTERS - 1)]
+        at = row[live] * REGISTERS + _SHUFFLE[(turn[live] + at * spread[live]) & (REGISTERS - 1)]
         np.minimum.at(low, at, value)
         most = low.reshape(rows, REGISTERS).max(axis=1)
         live = live[most[row[live]] > _LEVELS[level + 1]]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from terralane.llm import classifier
+import numpy as np
+
+from terralane.llm import classifier, dedup
 
 
 def test_the_good_share_covers_all_labels(spark):
@@ -11,3 +13,21 @@ def test_the_good_share_covers_all_labels(spark):
     assert classifier.fit(docs, labels, fit_rows=10)[1] == sum(i % 7 != 0 for i in range(300)) / 300
     kept = classifier.select(docs, labels, fit_rows=10).where("kept").count()
     assert kept == sum(i % 7 != 0 for i in range(300))
+
+
+def test_tiny_sets_share_a_band():
+    """Sets of five, and the same less the last, that shared no band while registers went in steps."""
+    apart = [
+        [17386445975656691383, 16025891298616763409, 11760269219351915373, 12915679190702949131, 17504189534509703400],
+        [17475181184743352459, 4066096839864220627, 1537700095950013813, 3690312714999884217, 17262134807880018390],
+        [12923189539502143343, 12701712233057757540, 6355412175495298438, 5044490010846676033, 3524142045765961601],
+        [15322568359416625379, 18106787083073123050, 15543897528683888876, 2546558236592538289, 3477219510856385040],
+        [10159681611465429023, 11466634564148128217, 7032491894746280678, 4297969431050855787, 11313471933842564250],
+        [16824389069998040272, 17200752137879959377, 17259825640404882189, 7661943001704817912, 7689056305237686772],
+    ]
+    both = np.array([x for s in apart for x in (*s, *s[:4])], np.uint64)
+    bounds = np.concatenate([[0], np.cumsum([5, 4] * len(apart))])
+    key = dedup.band_keys(dedup.registers(dedup.minima(both, bounds)))
+    assert (key[::2] == key[1::2]).any(axis=1).all()
+    low = dedup.minima(np.arange(1, 40, dtype=np.uint64), np.arange(40))
+    assert np.isfinite(low).all()  # a lone element fills each register
