@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from terralane.llm import classifier, dedup
+from terralane.llm import classifier, dedup, licenses
 
 
 def test_the_good_share_covers_all_labels(spark):
@@ -31,3 +31,20 @@ def test_tiny_sets_share_a_band():
     assert (key[::2] == key[1::2]).any(axis=1).all()
     low = dedup.minima(np.arange(1, 40, dtype=np.uint64), np.arange(40))
     assert np.isfinite(low).all()  # a lone element fills each register
+
+
+def test_one_shingle_notices_meet_a_band():
+    """Windows that held the one shingle of the MIT notice and met it in no band while orders were multiples of one number."""
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    shingle = matcher.sets[matcher.names.index("MIT")]
+    assert shingle.tolist() == [10026449429665276323]
+    windows = [
+        [9617572355128830115, 10026449429665276323, 1774127090763867411, 10011330573627413273],
+        [3975792923395013281, 15709875495410988510, 10026449429665276323, 5748408241380324003],
+        [10026449429665276323, 18223605507658014200, 9767630279335527331, 5133410176605881229],
+        [10026449429665276323, 11214597549631069274, 5864582963095115235, 13923908923214722149],
+        [2848850630211462963, 2960643158927680483, 12275210362057793184, 10026449429665276323],
+        [10026449429665276323, 10550887284298126563, 16818336235291267785, 369708611898640461],
+    ]
+    found = list(matcher.scan(np.array(windows, np.uint64).reshape(-1), np.arange(0, 4 * len(windows) + 1, 4)))
+    assert {row for row, t, _, share in found if matcher.names[t] == "MIT" and share == 1} == set(range(len(windows)))
