@@ -314,8 +314,8 @@ def greedy_thin(spark, d):
 
 @query()
 def declutter_fold(spark, d):
-    s = site_table(spark, d).withColumn("road_name", F.col("c_mktsegment"))
-    return export.declutter(s, ["c_nationkey"], limit=2000, spacing=100.0, per_road=40, row="row").select("row", "candidate_id", "road_name")
+    s = site_table(spark, d).join(feature_table(spark, d).select("row", "road_name"), "row")
+    return export.declutter(s, ["c_nationkey"], limit=2000, spacing=100.0, row="row").select("row", "candidate_id", "road_name")
 
 
 @query()

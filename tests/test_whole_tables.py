@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import __spark_entry__ as entry
+from terralane.operators import export
 from terralane.plans import inputs
 
 SMALL = "/root/testdata/sf0.001"
@@ -24,3 +26,14 @@ def test_every_road_is_sampled(spark):
     got = {(r["line"], round(r["m"], 3), r["off"]): r["x"] for r in entry.queries()["route_sampling_all"](spark, SMALL).collect()}
     assert len({line for line, _, _ in want}) > 50 and set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 2e-3 for k in want)
+
+
+def test_declutter_fold_is_the_walk_with_the_default_cap(spark):
+    roads = {r["row"]: r["road_name"] for r in inputs.features(spark, SMALL).collect()}
+    kept, count = [], Counter()
+    for r in sorted(inputs.sites(spark, SMALL).collect(), key=lambda r: (r["c_nationkey"], r["row"])):
+        if count[roads[r["row"]]] < export.PER_ROAD and all(math.hypot(r["x"] - k["x"], r["y"] - k["y"]) >= 100.0 for k in kept):
+            count[roads[r["row"]]] += 1
+            kept.append(r)
+    got = {(r["row"], r["road_name"]) for r in entry.queries()["declutter_fold"](spark, SMALL).collect()}
+    assert got == {(k["row"], roads[k["row"]]) for k in kept[:2000]}
