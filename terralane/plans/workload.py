@@ -360,6 +360,12 @@ def union_by_id(spark, d):
     return serving.union_by_id(f.where("row % 2 = 0").select("candidate_id", F.lit(1).alias("v")), f.where("row % 3 = 0").select("candidate_id", F.lit(2).alias("v")))
 
 
+@query()
+def union_by_id_all(spark, d):
+    f = feature_table(spark, d)
+    return serving.union_by_id(f.select("candidate_id", F.lit(1).alias("v")), f.where("row % 3 = 0").select("candidate_id", F.lit(2).alias("v")))
+
+
 @query(f"""WITH {FEATURES}, m AS (SELECT candidate_id, row, 2*6371008.8*atan2(sqrt(a), sqrt(1-a)) AS d FROM (SELECT candidate_id, row, power(sin(radians(latitude-41.9)/2),2)+cos(radians(41.9))*cos(radians(latitude))*power(sin(radians(longitude+74.0)/2),2) AS a FROM features))
 SELECT candidate_id, round(d, 3) AS d FROM m ORDER BY round(d, 6), row LIMIT 250""")
 def list_order(spark, d):

@@ -28,6 +28,12 @@ def test_every_road_is_sampled(spark):
     assert all(abs(got[k] - want[k]) < 2e-3 for k in want)
 
 
+def test_union_has_every_site(spark):
+    want = {(r["candidate_id"], 2 if r["row"] % 3 == 0 else 1) for r in inputs.features(spark, SMALL).collect()}
+    got = [(r["candidate_id"], r["v"]) for r in entry.queries()["union_by_id_all"](spark, SMALL).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_declutter_fold_is_the_walk_with_the_default_cap(spark):
     roads = {r["row"]: r["road_name"] for r in inputs.features(spark, SMALL).collect()}
     kept, count = [], Counter()
