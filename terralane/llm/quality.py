@@ -2,8 +2,13 @@
 
 Each document's measures are whole numbers: per mille shares and hundredths of a character.  Their counts by (language,
 source, bin) are a quantile sketch of fixed bins: sketches merge by adding counts, have a bounded number of bins, and give
-quantiles exact to one bin in whatever order rows come.  A group with few documents uses the merged sketch of its language,
-or of all.  A measure fails if it lies far outside its group's middle, and beyond a slack under which nothing fails.
+quantiles exact to one bin in whatever order rows come.  Bins are exact below 1024 and keep ten leading bits above, so a
+script without spaces has bins of its own, however long its "words" are.
+
+A group's quantiles are drawn towards its language's, and those towards all documents', as if ``PRIOR`` documents of the
+parent were in the group; there is no size at which another rule takes over.  A measure fails where it lies further beyond its
+group's 90 % quantile (or below the 10 % one) than so many times the distance from the median to that quantile.  A floor keeps
+that margin open where a group's bulk has one value, as where nine documents of ten have no symbols at all.
 """
 
 from __future__ import annotations
@@ -11,14 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, remove
 
-#: Documents from which a group's own sketch is used, and half-widths of the middle that a measure may be away from the median.
-LEAST_DOCS, SPREADS = 200, 4
-#: Measure: (slack above the median or as a plain floor, whether small values fail too).
-SLACK = {"symbol_pm": (50, False), "dup_line_pm": (400, False), "repeat_pm": (300, False), "word_len": (150, True)}
-LONGEST_MEAN = 5000  # the top bin of word_len
-LEAST_WORDS, MOST_REPEATED_PCT = 50, 50
+#: Documents of the parent group that count into each group's quantiles.
+PRIOR = 200
+#: The quantiles of the sketch that thresholds are made of, in per cent: lower tail, middle, upper tail.
+AT = (10, 50, 90)
+#: Measure: (times the distance from the median to the tail, least margin, whether small values fail too).
+MARGIN = {"symbol_pm": (3, 20, False), "dup_line_pm": (3, 340, False), "repeat_pm": (10, 60, False), "word_len": (5, 30, True)}
+#: The base rules; below FULL_WORDS words a document's measures are drawn towards its group's medians.
+LEAST_WORDS, MOST_REPEATED_PCT, FULL_WORDS = 50, 50, 50
+#: Leading bits that a bin keeps.
+BIN_BITS = 10
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -75,87 +84,112 @@ def _share(part: str, whole: str, times: int) -> Column:
     return F.expr(f"CAST({times} * {part} DIV greatest({whole}, 1) AS INT)")
 
 
-def with_bins(df: DataFrame) -> DataFrame:
+def binned(value: Column) -> Column:
+    """The bin of a whole number that is not negative: itself below 2^BIN_BITS, above it the number with its lower bits cleared."""
+    low = F.greatest(F.length(F.bin(value)) - BIN_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
+def with_bins(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Add the measures that thresholds hold for, and base_failed."""
     return df.withColumns(
         {
             "symbol_pm": _share("n_symbols", "word_chars", 1000),
             "dup_line_pm": _share("n_dup_lines", "n_lines", 1000),
             "repeat_pm": _share("n_repeat_words", "n_words", 1000),
-            "word_len": F.least(_share("word_chars", "n_words", 100), F.lit(LONGEST_MEAN)),
-            "base_failed": (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PCT),
+            "word_len": binned(_share("word_chars", "n_words", 100)),
+            "base_failed": (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PCT),
         }
     )
 
 
 def sketch(measures: DataFrame) -> DataFrame:
     """Counts by (lang, source, measure, bin) of the documents that pass the base rules.  Sketches merge by adding counts."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m in SLACK])).alias("x")
+    stacked = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m in MARGIN])).alias("x")
     return measures.where(~F.col("base_failed")).select("lang", "source", stacked).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
-def quantiles(counts: DataFrame, keys: list[str], at: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
-    """For keys and measure: n and the lowest bins that hold these percentages, as q25, q50, q75."""
+def quantiles(counts: DataFrame, keys: list[str], at: tuple[int, ...] = AT) -> DataFrame:
+    """For keys and measure: n and q, the lowest bins that hold these percentages."""
     group = [*keys, "measure"]
     merged = counts.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*group)
+    w = Window.partitionBy(*group)  # one row per bin, of which there is a bounded number
     sums = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return sums.groupBy(*group).agg(F.first("all").alias("n"), *[F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bin"))).alias(f"q{q}") for q in at])
+    return sums.groupBy(*group).agg(F.first("all").alias("n"), F.array(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bin"))) for q in at]).alias("q"))
+
+
+def _drawn(own: str, n: str, parent: str, prior: int) -> Column:
+    """Quantiles of n documents mixed with those of ``prior`` documents of the parent group, rounded down."""
+    return F.zip_with(own, parent, lambda x, y: F.floor((x * F.col(n) + y * prior) / (F.col(n) + prior)))
 
 
-def thresholds(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """One row per (lang, source) of the sketch: map-like columns <measure>_most and word_len_least."""
-    own, by_lang, of_all = quantiles(counts, ["lang", "source"]), quantiles(counts, ["lang"]), quantiles(counts, [])
-    rename = lambda q, p: q.select(*[c for c in q.columns if c in ("lang", "measure")], *[F.col(c).alias(p + c) for c in ("n", "q25", "q50", "q75")])
-    lang, everything = rename(by_lang, "l_").withColumnRenamed("lang", "l_lang").withColumnRenamed("measure", "l_measure"), rename(of_all, "a_").withColumnRenamed("measure", "a_measure")
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(everything, F.col("measure") == F.col("a_measure"))
-    q = {c: F.when(F.col("n") >= least_docs, F.col(c)).when(F.col("l_n") >= least_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")) for c in ("q25", "q50", "q75")}
-    slack = F.element_at(F.create_map(*[x for m, (s, _) in SLACK.items() for x in (F.lit(m), F.lit(s))]), F.col("measure"))
-    most = q["q50"] + F.greatest(slack, SPREADS * (q["q75"] - q["q50"]))
-    least = q["q50"] - F.greatest(slack, SPREADS * (q["q50"] - q["q25"]))
-    limits = joined.select("lang", "source", "measure", most.alias("most"), least.alias("least"))
-    columns = [F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"{m}_most") for m in SLACK]
-    columns += [F.max(F.when(F.col("measure") == m, F.col("least"))).alias(f"{m}_least") for m, (_, both) in SLACK.items() if both]
-    return limits.groupBy("lang", "source").agg(*columns)
+def thresholds(counts: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source) of the sketch: <measure>_mid, <measure>_most and word_len_least."""
+    counts, path = materialize(counts, "quality-sketch")
+    own = quantiles(counts, ["lang", "source"])
+    by_lang = quantiles(counts, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("n").alias("l_n"), F.col("q").alias("l_q"))
+    of_all = quantiles(counts, []).select(F.col("measure").alias("a_measure"), F.col("q").alias("a_q"))
+    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(of_all, F.col("measure") == F.col("a_measure"))
+    joined = joined.withColumn("l_q", _drawn("l_q", "l_n", "a_q", prior)).withColumn("q", _drawn("q", "n", "l_q", prior))
+    of = lambda i: F.element_at(F.create_map(*[x for m, spec in MARGIN.items() for x in (F.lit(m), F.lit(spec[i]))]), F.col("measure"))
+    low, mid, high = (F.col("q")[i] for i in range(3))
+    most, least = high + F.greatest(of(1), of(0) * (high - mid)), low - F.greatest(of(1), of(0) * (mid - low))
+    rows = joined.select("lang", "source", "measure", mid.alias("mid"), most.alias("most"), least.alias("least"))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    columns = [pick(m, c) for m in MARGIN for c in ("mid", "most")] + [pick(m, "least") for m, spec in MARGIN.items() if spec[2]]
+    limits, _ = materialize(rows.groupBy("lang", "source").agg(*columns), "quality-limits")
+    remove(counts.sparkSession, path)
+    return limits
 
 
 def _plain(df: DataFrame, keep: tuple[str, ...], text: str, lang: str, source: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
+    return df.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
 
 
 def _judged(found: DataFrame, limits: DataFrame) -> DataFrame:
-    """Add kept: the base rules, and each measure within its group's thresholds (any, if the group has none)."""
+    """Add kept: the base rules, and each measure within its group's thresholds (any, if the group has none).
+
+    A document of n < FULL_WORDS words says little of its own, so its measure counts as n parts of itself and the rest of its
+    group's median.
+    """
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = found.join(limits, found["lang"].eqNullSafe(F.col("_lang")) & found["source"].eqNullSafe(F.col("_source")), "left")
-    fits = [F.col(m) <= F.col(f"{m}_most") for m in SLACK] + [F.col(m) >= F.col(f"{m}_least") for m, (_, both) in SLACK.items() if both]
+    weight = F.least(F.col("n_words"), F.lit(FULL_WORDS))
+    off = lambda m: (F.col(m) - F.col(f"{m}_mid")) * weight
+    fits = [off(m) <= (F.col(f"{m}_most") - F.col(f"{m}_mid")) * FULL_WORDS for m in MARGIN]
+    fits += [off(m) >= (F.col(f"{m}_least") - F.col(f"{m}_mid")) * FULL_WORDS for m, spec in MARGIN.items() if spec[2]]
     verdict = ~F.col("base_failed")
     for f in fits:
         verdict = verdict & F.coalesce(f, F.lit(True))
     return joined.withColumn("kept", verdict)
 
 
-def passing(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``df`` that :func:`apply_rules` keeps, with all their columns.
+def _measured_once(df: DataFrame, keep: tuple[str, ...], text: str, lang: str, source: str, least_words: int, prior: int) -> DataFrame:
+    found, _ = materialize(with_bins(measured(_plain(df, keep, text, lang, source), "_text"), least_words).drop("_text"), "quality")
+    return _judged(found, thresholds(sketch(found), prior))
+
+
+def passing(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_words: int = LEAST_WORDS, prior: int = PRIOR) -> DataFrame:
+    """The rows of ``df`` that :func:`apply_rules` keeps, with all their columns, whatever these are called.
 
-    Measures are computed twice, once for the thresholds and once for the verdict, so that no copy of the texts is written.
+    Nulls, empty tables, ties and repeated rows are as there; a null or empty text goes, long texts are measured whole.
+    Measuring costs far more than writing, so rows are measured once and written with their measures to the shared folder.
     """
-    counts, _ = materialize(sketch(with_bins(measured(_plain(df, (), text, lang, source), "_text"))), "quality-sketch")
-    limits, _ = materialize(thresholds(counts), "quality-limits")
-    found = with_bins(measured(_plain(df, tuple(df.columns), text, lang, source), "_text"))
-    return _judged(found, limits).where("kept").select(*[F.col(f"keep_{c}").alias(c) for c in df.columns])
+    kept = _measured_once(df, tuple(df.columns), text, lang, source, least_words, prior).where("kept")
+    return kept.select(*[F.col(f"`keep_{c}`").alias(c) for c in df.columns])
 
 
-def apply_rules(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def apply_rules(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source", least_words: int = LEAST_WORDS, prior: int = PRIOR) -> DataFrame:
     """*keep, the measures, base_failed and kept of every row of ``df``.
 
-    Null texts have no words and fail; null languages and sources are groups of their own; repeated rows get the same verdict
-    each; an empty table gives no rows; other columns of ``df`` are left out.  Measures are computed once and written with
-    ``keep`` to the shared folder; thresholds are one row per (language, source) and joined by Spark's own choice of join.
+    Null texts have no words and fail; null languages and sources are groups of their own; a group whose documents all fail
+    the base rules needs no thresholds; repeated rows get the same verdict each; an empty table gives no rows; other columns
+    of ``df`` are left out.  Measures are computed once and written with ``keep`` to the shared folder; thresholds are one row
+    per (language, source) and joined by Spark's own choice of join.
     """
-    found, _ = materialize(with_bins(measured(_plain(df, keep, text, lang, source), "_text")).drop("_text"), "quality")
-    limits, _ = materialize(thresholds(sketch(found)), "quality-limits")
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return _judged(found, limits).select(*[F.col(f"keep_{c}").alias(c) for c in keep], *[c for c in out if c not in keep], "kept")
+    judged = _measured_once(df, keep, text, lang, source, least_words, prior)
+    return judged.select(*[F.col(f"`keep_{c}`").alias(c) for c in keep], *[c for c in out if c not in keep], "kept")
 
 
 _MEASURES = r"""
@@ -169,19 +203,21 @@ m AS (SELECT w.r, doc_id, lang, source, len(ws) AS n_words, length(array_to_stri
              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM w LEFT JOIN c ON w.r = c.r),
-b AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_pm, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_pm,
-             1000 * n_repeat_words // greatest(n_words, 1) AS repeat_pm, least(100 * word_chars // greatest(n_words, 1), 5000) AS word_len,
+x AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_pm, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_pm,
+             1000 * n_repeat_words // greatest(n_words, 1) AS repeat_pm, CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS len_,
              n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-s AS (SELECT lang, source, 'symbol_pm' AS measure, 50 AS slack, symbol_pm AS bin FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'dup_line_pm', 400, dup_line_pm FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'repeat_pm', 300, repeat_pm FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'word_len', 150, word_len FROM b WHERE NOT base_failed),
-q0 AS (SELECT lang, source, measure, slack, count(*) AS n, quantile_disc(bin, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY ALL),
-q1 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY ALL),
-q2 AS (SELECT measure, count(*) AS n, quantile_disc(bin, [0.25, 0.5, 0.75]) AS q FROM s GROUP BY ALL),
-p AS (SELECT q0.lang, q0.source, q0.measure, slack, CASE WHEN q0.n >= 200 THEN q0.q WHEN q1.n >= 200 THEN q1.q ELSE q2.q END AS q
-      FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.measure = q1.measure JOIN q2 ON q0.measure = q2.measure),
-l AS (SELECT lang, source, measure, q[2] + greatest(slack, 4 * (q[3] - q[2])) AS most, q[2] - greatest(slack, 4 * (q[2] - q[1])) AS least FROM p),
+b AS (SELECT *, (len_ >> greatest(length(bin(len_)) - 10, 0)) << greatest(length(bin(len_)) - 10, 0) AS word_len FROM x),
+s AS (SELECT lang, source, 'symbol_pm' AS measure, 3 AS times, 20 AS least_margin, symbol_pm AS bin FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'dup_line_pm', 3, 340, dup_line_pm FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'repeat_pm', 10, 60, repeat_pm FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'word_len', 5, 30, word_len FROM b WHERE NOT base_failed),
+q0 AS (SELECT lang, source, measure, times, least_margin, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
+q1 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
+q2 AS (SELECT measure, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
+p1 AS (SELECT lang, measure, list_transform([1, 2, 3], lambda i: (q1.n * q1.q[i] + 200 * q2.q[i]) // (q1.n + 200)) AS q FROM q1 JOIN q2 USING (measure)),
+p AS (SELECT q0.lang, source, q0.measure, times, least_margin, list_transform([1, 2, 3], lambda i: (q0.n * q0.q[i] + 200 * p1.q[i]) // (q0.n + 200)) AS q
+      FROM q0 JOIN p1 ON q0.lang IS NOT DISTINCT FROM p1.lang AND q0.measure = p1.measure),
+l AS (SELECT lang, source, measure, q[3] + greatest(least_margin, times * (q[3] - q[2])) AS most, q[1] - greatest(least_margin, times * (q[2] - q[1])) AS least FROM p),
 v AS (SELECT lang, source, max(most) FILTER (measure = 'symbol_pm') AS a, max(most) FILTER (measure = 'dup_line_pm') AS b_,
              max(most) FILTER (measure = 'repeat_pm') AS c_, max(most) FILTER (measure = 'word_len') AS d_, max(least) FILTER (measure = 'word_len') AS e_
       FROM l GROUP BY ALL)

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terralane.llm import chat, classifier, dedup, fingerprints, licenses, lm, mixing, packing, quality, queries, tokens, words
 from terralane.llm.eliasfano import Sequence, encode, pack, unpack
@@ -406,16 +407,62 @@ def test_quality_measures(docs, rows):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
-def test_quality_adapts_to_its_group(spark, empty):
+def _say(rng: random.Random, mark: str = "", n: int = 80) -> str:
+    return " ".join(rng.choice(["river", "stone", "hill", "down"]) + str(rng.randrange(500)) + mark for _ in range(n))
+
+
+QUALITY_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize(("size", "prior"), [(300, quality.PRIOR), (30, 20)])
+def test_quality_adapts_to_its_group(spark, empty, size, prior):
     rng = random.Random(3)
-    say = lambda mark: " ".join(rng.choice(["river", "stone", "hill", "down"]) + str(rng.randrange(500)) + mark for _ in range(80))
-    table = [(i, say("#" if i % 40 == 0 else ""), "en", "plain", 0) for i in range(300)] + [(1000 + i, say("#"), "en", "code", 0) for i in range(300)]
-    got = {r["doc_id"]: r["kept"] for r in quality.apply_rules(spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
-    assert all(got[i] == (i % 40 != 0) for i in range(300))
-    assert all(got[1000 + i] for i in range(300))  # what is usual in its source is no fault
+    odd = size // 10
+    table = [(i, _say(rng, "#" if i % odd == 0 and i % 2 == 0 and i < 2 * odd else ""), "en", "plain", 0) for i in range(size)] + [(1000 + i, _say(rng, "#"), "en", "code", 0) for i in range(size)]
+    got = {r["doc_id"]: r["kept"] for r in quality.apply_rules(spark.createDataFrame(table, QUALITY_SCHEMA), prior=prior).collect()}
+    assert all(got[i] == ("#" not in table[i][1]) for i in range(size))
+    assert all(got[1000 + i] for i in range(size))  # what is usual in its source is no fault
     assert quality.apply_rules(empty).count() == 0
 
 
+def test_quality_thresholds_follow_quantiles(spark):
+    """Thresholds against plain Python: quantiles drawn towards the parent's, then margins, with bins above 1024."""
+    rng = random.Random(4)
+    values = {("en", "a"): [rng.randrange(300, 700) for _ in range(40)], ("en", None): [rng.randrange(2000, 90_000) for _ in range(25)], ("ja", "b"): [5_000_000] * 12}
+    spec = quality.MARGIN["word_len"]
+    rows = [(lang, source, *[0] * 3, v, False) for (lang, source), vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "lang string, source string, symbol_pm long, dup_line_pm long, repeat_pm long, word_len long, base_failed boolean")
+    df = df.withColumn("word_len", quality.binned(F.col("word_len")))
+    cut = lambda v: v if v < 1024 else v >> v.bit_length() - 10 << v.bit_length() - 10
+    at = lambda vs: [sorted(map(cut, vs))[-(-len(vs) * q // 100) - 1] for q in quality.AT]
+    mixed = lambda n, own, parent: [(n * x + quality.PRIOR * y) // (n + quality.PRIOR) for x, y in zip(own, parent, strict=True)]
+    everything = at([v for vs in values.values() for v in vs])
+    got = {(r["lang"], r["source"]): r for r in quality.thresholds(quality.sketch(df)).collect()}
+    assert set(got) == set(values)
+    for (lang, source), vs in values.items():
+        same = [v for (other, _), many in values.items() if other == lang for v in many]
+        low, mid, high = mixed(len(vs), at(vs), mixed(len(same), at(same), everything))
+        r = got[lang, source]
+        assert (r["word_len_mid"], r["word_len_most"], r["word_len_least"]) == (mid, high + max(spec[1], spec[0] * (high - mid)), low - max(spec[1], spec[0] * (mid - low)))
+
+
+def test_quality_thresholds_differ_between_groups(spark):
+    rng = random.Random(5)
+    table = [(i, " ".join("x" * rng.randint(2 + i % 4, 9) + str(rng.randrange(900)) for _ in range(80)), "en", f"s{i % 4}", 0) for i in range(400)]
+    df = spark.createDataFrame(table, QUALITY_SCHEMA)
+    limits = quality.thresholds(quality.sketch(quality.with_bins(quality.measured(df)))).collect()
+    assert len({r["word_len_most"] for r in limits}) > 1 and len({r["word_len_least"] for r in limits}) > 1
+
+
+def test_passing_keeps_columns_short_texts_and_odd_names(spark):
+    rng = random.Random(6)
+    table = [(i, _say(rng, n=20 if i % 10 == 0 else 80), "en", "a", "x", 1, "k") for i in range(100)] + [(100, None, None, None, "x", 1, "k"), (101, "", "en", "a", "x", 1, "k")]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, word_len string, kept long, `a.b` string")
+    got = quality.passing(df, least_words=1)
+    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == set(range(100))
+    assert {r["doc_id"] for r in quality.passing(df).collect()} == {i for i in range(100) if i % 10}
+
+
 # --- 10 Fingerprints ---
 
 
