@@ -12,8 +12,8 @@ from terralane.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
-    return quality.passing(docs)
+    """Documents that pass the rules adapted to their group; short ones may stay, but for those without a word."""
+    return quality.passing(docs, least_words=1)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
