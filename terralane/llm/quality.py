@@ -7,8 +7,9 @@ script without spaces has bins of its own, however long its "words" are.
 
 A group's quantiles are drawn towards its language's, and those towards all documents', as if ``PRIOR`` documents of the
 parent were in the group; there is no size at which another rule takes over.  A measure fails where it lies further beyond its
-group's 90 % quantile (or below the 10 % one) than so many times the distance from the median to that quantile.  A floor keeps
-that margin open where a group's bulk has one value, as where nine documents of ten have no symbols at all.
+group's upper quantile (or below its 10 % one) than so many times the distance from the median to that quantile.  That is the
+90 % quantile, for symbols the 75 % one, as sources are met of which more than a tenth is markup.  A floor keeps the margin open
+where a group's bulk has one value, as where most documents have no symbols at all.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from ..storage import materialize, remove
 
 #: Documents of the parent group that count into each group's quantiles.
 PRIOR = 200
-#: The quantiles of the sketch that thresholds are made of, in per cent: lower tail, middle, upper tail.
-AT = (10, 50, 90)
-#: Measure: (times the distance from the median to the tail, least margin, whether small values fail too).
-MARGIN = {"symbol_pm": (3, 20, False), "dup_line_pm": (3, 340, False), "repeat_pm": (10, 60, False), "word_len": (5, 30, True)}
+#: The quantiles of the sketch that thresholds are made of, in per cent: lower tail, middle, upper tails.
+AT = (10, 50, 75, 90)
+#: Measure: (times the distance from the median to the tail, least margin, whether small values fail too, upper tail in AT).
+MARGIN = {"symbol_pm": (3, 20, False, 2), "dup_line_pm": (3, 340, False, 3), "repeat_pm": (10, 60, False, 3), "word_len": (5, 30, True, 3)}
 #: The base rules; below FULL_WORDS words a document's measures are drawn towards its group's medians.
 LEAST_WORDS, MOST_REPEATED_PCT, FULL_WORDS = 50, 50, 50
 #: Leading bits that a bin keeps.
@@ -132,7 +133,7 @@ def thresholds(counts: DataFrame, prior: int = PRIOR) -> DataFrame:
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(of_all, F.col("measure") == F.col("a_measure"))
     joined = joined.withColumn("l_q", _drawn("l_q", "l_n", "a_q", prior)).withColumn("q", _drawn("q", "n", "l_q", prior))
     of = lambda i: F.element_at(F.create_map(*[x for m, spec in MARGIN.items() for x in (F.lit(m), F.lit(spec[i]))]), F.col("measure"))
-    low, mid, high = (F.col("q")[i] for i in range(3))
+    low, mid, high = F.col("q")[0], F.col("q")[1], F.get("q", of(3))
     most, least = high + F.greatest(of(1), of(0) * (high - mid)), low - F.greatest(of(1), of(0) * (mid - low))
     rows = joined.select("lang", "source", "measure", mid.alias("mid"), most.alias("most"), least.alias("least"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
@@ -207,17 +208,17 @@ x AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_pm, 1000 *
              1000 * n_repeat_words // greatest(n_words, 1) AS repeat_pm, CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS len_,
              n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 b AS (SELECT *, (len_ >> greatest(length(bin(len_)) - 10, 0)) << greatest(length(bin(len_)) - 10, 0) AS word_len FROM x),
-s AS (SELECT lang, source, 'symbol_pm' AS measure, 3 AS times, 20 AS least_margin, symbol_pm AS bin FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'dup_line_pm', 3, 340, dup_line_pm FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'repeat_pm', 10, 60, repeat_pm FROM b WHERE NOT base_failed
-      UNION ALL SELECT lang, source, 'word_len', 5, 30, word_len FROM b WHERE NOT base_failed),
-q0 AS (SELECT lang, source, measure, times, least_margin, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
-q1 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
-q2 AS (SELECT measure, quantile_disc(bin, [0.1, 0.5, 0.9]) AS q FROM s GROUP BY ALL),
-p1 AS (SELECT lang, measure, list_transform([1, 2, 3], lambda i: (q1.n * q1.q[i] + 200 * q2.q[i]) // (q1.n + 200)) AS q FROM q1 JOIN q2 USING (measure)),
-p AS (SELECT q0.lang, source, q0.measure, times, least_margin, list_transform([1, 2, 3], lambda i: (q0.n * q0.q[i] + 200 * p1.q[i]) // (q0.n + 200)) AS q
+s AS (SELECT lang, source, 'symbol_pm' AS measure, 3 AS times, 20 AS least_margin, 3 AS tail, symbol_pm AS bin FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'dup_line_pm', 3, 340, 4, dup_line_pm FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'repeat_pm', 10, 60, 4, repeat_pm FROM b WHERE NOT base_failed
+      UNION ALL SELECT lang, source, 'word_len', 5, 30, 4, word_len FROM b WHERE NOT base_failed),
+q0 AS (SELECT lang, source, measure, times, least_margin, tail, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.75, 0.9]) AS q FROM s GROUP BY ALL),
+q1 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, [0.1, 0.5, 0.75, 0.9]) AS q FROM s GROUP BY ALL),
+q2 AS (SELECT measure, quantile_disc(bin, [0.1, 0.5, 0.75, 0.9]) AS q FROM s GROUP BY ALL),
+p1 AS (SELECT lang, measure, list_transform([1, 2, 3, 4], lambda i: (q1.n * q1.q[i] + 200 * q2.q[i]) // (q1.n + 200)) AS q FROM q1 JOIN q2 USING (measure)),
+p AS (SELECT q0.lang, source, q0.measure, times, least_margin, tail, list_transform([1, 2, 3, 4], lambda i: (q0.n * q0.q[i] + 200 * p1.q[i]) // (q0.n + 200)) AS q
       FROM q0 JOIN p1 ON q0.lang IS NOT DISTINCT FROM p1.lang AND q0.measure = p1.measure),
-l AS (SELECT lang, source, measure, q[3] + greatest(least_margin, times * (q[3] - q[2])) AS most, q[1] - greatest(least_margin, times * (q[2] - q[1])) AS least FROM p),
+l AS (SELECT lang, source, measure, q[tail] + greatest(least_margin, times * (q[tail] - q[2])) AS most, q[1] - greatest(least_margin, times * (q[2] - q[1])) AS least FROM p),
 v AS (SELECT lang, source, max(most) FILTER (measure = 'symbol_pm') AS a, max(most) FILTER (measure = 'dup_line_pm') AS b_,
              max(most) FILTER (measure = 'repeat_pm') AS c_, max(most) FILTER (measure = 'word_len') AS d_, max(least) FILTER (measure = 'word_len') AS e_
       FROM l GROUP BY ALL)
