@@ -82,14 +82,14 @@ class Sequence:
             at += U64(width) * beyond.astype(U64)
         return word * 64 + at.astype(np.int64)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first number that is not below each value."""
-        values = values.astype(U64)
+    def _range(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first number not below each value, and where the numbers with its high part end."""
         high = (values >> U64(self.low_bits)).astype(np.int64)
         start = np.zeros(len(values), np.int64)
         later = high > 0
         start[later] = self._select_zero(high[later] - 1) - (high[later] - 1)
-        stop = self._select_zero(high) - high
+        end = self._select_zero(high) - high
+        stop = end.copy()
         want = values & U64((1 << self.low_bits) - 1)
         live = np.flatnonzero(start < stop)
         while len(live):
@@ -98,18 +98,23 @@ class Sequence:
             start[live] = np.where(below, mid + 1, start[live])
             stop[live] = np.where(below, stop[live], mid)
             live = live[start[live] < stop[live]]
-        return start
+        return start, end
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first number that is not below each value."""
+        return self._range(values.astype(U64))[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not among the numbers."""
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
-        at = self.successor(values)
-        inside = at < self.n
-        same = np.zeros(len(values), bool)
-        probe = at[inside]
-        same[inside] = self.values(probe) == values.astype(U64)[inside]
-        return np.where(same, at, -1)
+        values = values.astype(U64)
+        at, end = self._range(values)
+        out = np.full(len(values), -1, np.int64)
+        inside = np.flatnonzero(at < end)  # a number with the same high part, so that low parts decide
+        same = inside[self._lows(at[inside]) == values[inside] & U64((1 << self.low_bits) - 1)]
+        out[same] = at[same]
+        return out
 
     def values(self, i: np.ndarray) -> np.ndarray:
         """The numbers at some places."""
