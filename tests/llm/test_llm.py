@@ -153,14 +153,63 @@ def test_license_scan(docs, rows, empty):
     assert got == want and licenses.scan(empty).count() == 0
 
 
+def _noise(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice(["red", "blue", "one", "two", "sky"]) for _ in range(n))
+
+
 def test_every_license_is_found_anywhere(spark):
+    """Short notices and whole texts, at any offset, and with other text in their midst."""
     rng = random.Random(1)
-    noise = lambda n: " ".join(rng.choice(["red", "blue", "one", "two", "sky"]) for _ in range(n))
-    texts = [(f"{name}-{n}", f"{noise(n)} {text} {noise(rng.randint(0, 400))}") for name, text in licenses.TEMPLATES.items() for n in (0, 1, 5, 33, 400)]
+    texts = [(f"{name}-{n}", f"{_noise(rng, n)} {text} {_noise(rng, rng.randint(0, 400))}") for name, text in licenses.TEMPLATES.items() for n in (0, 1, 5, 33, 400)]
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        if len(w) > 60:
+            texts.append((f"{name}-cut", " ".join([_noise(rng, 50), *w[: len(w) // 2], _noise(rng, 700), *w[len(w) // 2 :]])))
     got = {r["doc_id"] + "/" + r["license"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
     assert {f"{i}/{i.rsplit('-', 1)[0]}" for i, _ in texts} <= got
 
 
+def _shingles(text: str) -> set[tuple]:
+    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_license_scan_equals_brute_force(spark, tmp_path):
+    """Some hundred templates of 5 to 2,000 words, texts with all, most or half of one."""
+    rng = random.Random(2)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    for i in range(150):
+        (tmp_path / f"t{i}.txt").write_text(" ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 9, 17, 40, 132, 133, 300, 2000]))))
+    templates = licenses.read_templates(str(tmp_path))
+    assert len(templates) == 150
+    texts = []
+    for i in range(200):
+        w = rng.choice(list(templates.values())).split()
+        for _ in range(int(len(w) * rng.choice([0, 0, 0.02, 0.05, 0.1]))):
+            w[rng.randrange(len(w))] = "changed"
+        w = w[: int(len(w) * rng.choice([1, 1, 0.85, 0.5]))]
+        texts.append((i, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 300)), *w, *rng.choices(vocabulary, k=rng.randint(0, 300))])))
+    want = set()
+    sets = {name: _shingles(text) for name, text in templates.items()}
+    for i, text in texts:
+        own = _shingles(text)
+        want |= {(i, name, round(len(own & s) / len(s), 9)) for name, s in sets.items() if len(own & s) / len(s) >= licenses.CONTAINED}
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates=templates).collect()
+    assert {(r["doc_id"], r["license"], round(r["containment"], 9)) for r in got} == want and len(want) > 50
+
+
+def test_a_whole_license_file_is_found(spark):
+    import importlib.metadata
+
+    found = [f for name in ("packaging", "requests") for f in importlib.metadata.files(name) or () if "LICENSE" in f.name and len(text := f.read_text()) > 8000 and "Apache License" in text]
+    if not found:
+        pytest.skip("no Apache license file among the installed packages")
+    text = found[0].read_text()
+    docs = [(1, f"{_noise(random.Random(1), 77)} {text} {_noise(random.Random(2), 900)}"), (2, _noise(random.Random(3), 3000)), (3, text[: len(text) // 2])]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates={"Apache-2.0-text": text}).collect()
+    assert [(r["doc_id"], r["containment"]) for r in got] == [(1, 1.0)]
+
+
 # --- 4 Tokens ---
 
 
@@ -179,6 +228,40 @@ def test_ids_survive_cutting(monkeypatch):
     whole = e.ids(text).tolist()
     monkeypatch.setattr(tokens, "PART_CHARS", 50)
     assert e.ids(text).tolist() == whole and e.count(text) == len(whole)
+    ids, bounds = e.batch([text, None, "x"])
+    assert ids[: bounds[1]].tolist() == whole and bounds.tolist() == [0, len(whole), len(whole), len(whole) + 1]
+
+
+def _wild_texts() -> list[str]:
+    """Random code points of all planes, white space of all kinds, special and separating strings, contractions, digits."""
+    rng = random.Random(11)
+    bits = ["<|endoftext|>", tokens.SEPARATOR, "\0", "|", "<|", "endoftext|>", "'ll", "'S", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "\r\n", "12", "\u0663", "\u00bd", "a", "Zz", "\u00e9", "e\u0301", "\u65e5\u672c", "\U0001f600", "\ufb01", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    for _ in range(600):
+        points = (rng.choice([rng.randint(1, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0xE000, 0x10FFFF)]) for _ in range(rng.randint(1, 30)))
+        texts.append("".join(map(chr, points)))
+    return texts
+
+
+def test_batches_equal_the_library_on_wild_texts():
+    from tokenizers import Tokenizer
+
+    t, e, texts = Tokenizer.from_file(tokens.default_tokenizer_path()), tokens.encoder(tokens.default_tokenizer_path()), _wild_texts()
+    ids, bounds = e.batch(texts)
+    for i, x in enumerate(texts):
+        want = t.encode(x, add_special_tokens=False).ids
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == want, repr(x)
+        assert e.ids(x).tolist() == want
+
+
+def test_texts_beyond_a_part_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    text = "".join(rng.choice(["word ", "two  ", "\n\n", "x1 ", "\u00e9t\u00e9 ", "a" * 40 + " ", "<|endoftext|>"]) for _ in range(350_000))
+    assert len(text) > tokens.PART_CHARS
+    t, e = Tokenizer.from_file(tokens.default_tokenizer_path()), tokens.encoder(tokens.default_tokenizer_path())
+    assert e.batch([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_other_vocabularies_use_the_library():
@@ -186,8 +269,12 @@ def test_other_vocabularies_use_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    want = Tokenizer.from_file(path).encode("Some Words, twice", add_special_tokens=False).ids
-    assert tokens.Encoder(path).ids("Some Words, twice").tolist() == want
+    texts = ["Some Words, twice", None, "", "<|endoftext|> x"]
+    want = [Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids for x in texts]
+    e = tokens.Encoder(path)
+    ids, bounds = e.batch(texts)
+    assert e.ids(texts[0]).tolist() == want[0]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
 # --- 5 Language model ---
