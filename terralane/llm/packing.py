@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from ..storage import materialize
 from .tokens import byte_slices, default_tokenizer_path, encoder
 
+#: Rows of a plan (48 bytes each) up to which it is sent to every executor.
+BROADCAST_ROWS = 500_000
 PLAN_SCHEMA = "length long, first long, stop long, sequence long, per_sequence long, place long"
 
 
@@ -43,11 +45,16 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len: i
         for batch in batches:
             for at, stop in byte_slices(batch.column(1)):
                 rows, out = [], []
-                for k, value in enumerate(batch.column(1).slice(at, stop - at).to_pylist(), at):
-                    raw = enc.ids(value).astype("<u4", copy=False).tobytes() + end if value else end
-                    for p, (start, length) in enumerate(cut(len(raw) // 4, max_len)):
-                        rows.append(k)
-                        out.append((p, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
+                ids, bounds = enc.batch(batch.column(1).slice(at, stop - at).to_pylist())
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                for k in range(stop - at):
+                    n = int(bounds[k + 1] - bounds[k])
+                    for p, (start, length) in enumerate(cut(n + 1, max_len)):
+                        here = int(bounds[k]) + start
+                        last = start + length > n  # this piece has the end id
+                        check = zlib.crc32(raw[4 * here : 4 * (here + length - last)])
+                        rows.append(at + k)
+                        out.append((p, start, length, zlib.crc32(end, check) if last else check))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
@@ -112,8 +119,10 @@ def place(found: DataFrame, order: list[str], max_len: int = 2048) -> DataFrame:
     starts = by_part.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
     within = Window.partitionBy("length", "_part").orderBy(*order)
     ranked = table.withColumn("_row", F.row_number().over(within)).join(starts, ["length", "_part"]).withColumn("_rank", F.col("_from") + F.col("_row") - 1)
-    # The plan's rows are bounded by max_len (lengths times rooms), not by the corpus, so it is safe to broadcast.
-    slots = F.broadcast(spark.createDataFrame(plan(histogram, max_len), PLAN_SCHEMA))
+    rows = plan(histogram, max_len)
+    slots = spark.createDataFrame(rows, PLAN_SCHEMA)
+    if len(rows) <= BROADCAST_ROWS:  # some hundred thousand at the very most at 2048 ids; beyond, Spark's own choice of join
+        slots = F.broadcast(slots)
     at = F.col("_rank") - F.col("first")
     return (
         ranked.join(slots, (ranked["length"] == slots["length"]) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("stop")))
@@ -124,8 +133,9 @@ def place(found: DataFrame, order: list[str], max_len: int = 2048) -> DataFrame:
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``max_len`` ids; one row per piece.
 
-    doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Repeated rows and null ids are packed like others, an
-    empty table gives no rows, other columns of ``df`` are not read.
+    doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Repeated rows and null ids are packed like others, a null
+    or empty text is its end id alone, a long text is encoded whole, an empty table gives no rows, other columns of ``df`` are
+    not read.
     """
     found = pieces(df, doc_id, text, max_len, end_id, path)
     return place(found, [F.col(doc_id).asc_nulls_first(), "piece", "ids_crc32"], max_len)
