@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize, shuffle_partitions
+from ..storage import materialize, remove, shuffle_partitions
 from .words import joined, mix, row_slices
 
 BUCKETS = 128
@@ -96,43 +96,49 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
     return df.mapInArrow(add, schema)
 
 
+def _range_of(key: Column, bounds: Column) -> Column:
+    """How many bounds are not above a key, less one: by steps of about the root of their number, then within a step."""
+    step = F.ceil(F.sqrt(F.size(bounds))).cast("int")
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    coarse = below(F.transform(F.sequence(F.lit(0), F.size(bounds) - 1, step), lambda i: F.get(bounds, i))) - 1
+    return (coarse * step + below(F.slice(bounds, coarse * step + 1, step)) - 1).cast("int")
+
+
 def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (part, role, doc_id, text) dealt by ranges of the id and sorted, so that each row's next follows it.
 
     The first row of each range is also sent, with role 1, behind the last row of the range before (of the first range: behind
-    the last of all).  Range bounds are quantiles of the ids; null ids come first; rows of one id come in order of their text's
-    hash and all fall into one range.
+    the last of all).  Ids may be of any type that can be ordered; null ids come first; rows of one id come in order of their
+    text's hash, which also cuts ranges, so that an id of many rows fills several.
     """
     spark = df.sparkSession
+    tie = F.xxhash64("text")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))
     parts = shuffle_partitions(spark)
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [] if parts > 1 else []
-    bounds = sorted(set(bounds))
-    low = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    # The number of bounds not above the id: bounds are one per partition.
-    part = F.coalesce(F.size(F.filter(low, lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    # Nulls have no bound below them.
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")
-    docs = docs.withColumn("part", part).withColumn("tie", F.xxhash64("text"))
-    firsts, _ = materialize(docs.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_has"), "doc_id", "tie")).alias("first")), "range-firsts")
-    before = F.lag("part").over(Window.orderBy("part"))  # one row per range
-    last = F.max("part").over(Window.partitionBy())
-    heads = firsts.select(F.col("first.doc_id").alias("h_id"), F.col("first.tie").alias("h_tie"), F.coalesce(before, last).alias("h_part"))
-    heads, _ = materialize(heads, "range-heads")
-    # At most one head per partition: a bounded table.
-    sent = docs.join(F.broadcast(heads), docs["doc_id"].eqNullSafe(heads["h_id"]) & (docs["tie"] == heads["h_tie"]), "left")
-    copies = F.when(F.col("h_part").isNull(), F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("role")))).otherwise(
-        F.array(F.struct(F.col("part").alias("to"), F.lit(0).alias("role")), F.struct(F.col("h_part").alias("to"), F.lit(1).alias("role")))
-    )
+    keys, keys_path = materialize(docs.select("doc_id", tie.alias("tie")), "range-keys")
+    dealt = keys.select(key.alias("key")).repartitionByRange(parts, "key")
+    firsts = dealt.groupBy(F.spark_partition_id().alias("_p")).agg(F.min("key").alias("first"))  # one row per range
+    bounds, _ = materialize(firsts.agg(F.array_sort(F.collect_set("first")).alias("bounds")), "range-bounds")
+    remove(spark, keys_path)
+    # One row, of one bound per range.
+    keyed = docs.withColumn("tie", tie).crossJoin(F.broadcast(bounds)).withColumn("part", _range_of(key, F.col("bounds")))
+    heads = bounds.select(F.size("bounds").alias("n"), F.posexplode("bounds").alias("at", "head"))
+    heads = heads.select("head", F.pmod(F.col("at") - 1, F.col("n")).cast("int").alias("h_part"))
+    sent = keyed.withColumn("key", key).join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
+    own = F.struct(F.col("part").alias("to"), F.lit(0).alias("role"))
+    copies = F.when(F.col("h_part").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("h_part").alias("to"), F.lit(1).alias("role"))))
     rows = sent.select("doc_id", "text", "tie", F.explode(copies).alias("c")).select(F.col("c.to").alias("part"), F.col("c.role").alias("role"), "doc_id", "tie", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "role", "doc_id", "tie").select("part", "role", "doc_id", "text")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "role", "doc_id", "tie").select("part", "role", "doc_id", "text")
 
 
 def edited_likeness(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of each document, of an edited copy and of the next document, and how alike they are.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document by
-    ascending id (after the last: the first; a lone document is its own next).  Null texts are empty.  Repeated rows stay.
+    ascending id (after the last: the first; a lone document is its own next).  Null texts are empty, long ones are taken whole.
+    Ids of any type that can be ordered, nulls first; rows of one id stand in order of their text's hash.  Repeated rows stay,
+    an empty table gives no rows, other columns are not read.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     id_type = df.schema[doc_id].dataType
