@@ -4,7 +4,8 @@ A turn is written ``### ROLE: TEXT</turn>\n``.  Inside roles and texts a backsla
 every string that could be read as markup, so that any content reads back as it was.
 
 Conversations are dealt by id and sorted by turn within their part of the table; formatting then streams over Arrow batches.
-A conversation that spans batches continues in further chunks, so memory holds a batch at a time, never a conversation.
+A conversation that spans batches continues in further chunks, so memory holds a batch at a time, never a conversation.  Its
+turns' digest runs over the whole in order, so a very long one is one task's work, but never one task's memory.
 """
 
 from __future__ import annotations
@@ -87,8 +88,9 @@ def format_chat(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     """Format conversations: conv_id, chunk, formatted (bytes), loss_start, loss_end (byte spans of the trained role's contents).
 
     Turns come by number, nulls first, then by role and text, so ties and repeated rows have one order and each stays.  A null
-    role or text is empty; a null id is a conversation of its own; other columns are not read.  Most conversations have one
-    chunk, 0; the chunks of a longer one follow each other in its part of the table, none cuts a turn.
+    role or text is empty; every row with a null id is a conversation of its own, so such rows are dealt anywhere; other
+    columns are not read; an empty table gives no rows.  Most conversations have one chunk, 0; a longer one, and one with a
+    very long turn, has further ones, numbered in order, none of which cuts a turn.
     """
     schema = T.StructType(
         [T.StructField("conv_id", df.schema[conv_id].dataType), T.StructField("chunk", T.LongType()), T.StructField("formatted", T.BinaryType())]
@@ -109,10 +111,10 @@ def format_chat(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
             ids = batch.column(0).to_pylist()
             buffer, bounds, begin, end = assemble(pc.fill_null(batch.column(1), ""), pc.fill_null(batch.column(2), ""))
             learns = np.asarray(pc.fill_null(pc.equal(batch.column(1), trained), False))
-            firsts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            firsts = [i for i in range(len(ids)) if i == 0 or ids[i] is None or ids[i] != ids[i - 1]]
             rows: list[list] = [[], [], [], [], []]
             for a, b in zip(firsts, [*firsts[1:], len(ids)], strict=True):
-                chunk = chunk + 1 if ids[a] == last else 0
+                chunk = chunk + 1 if ids[a] == last and last is not None else 0
                 last = ids[a]
                 mine = np.flatnonzero(learns[a:b]) + a
                 for column, value in zip(rows, (ids[a], chunk, buffer[bounds[a] : bounds[b]].tobytes(), (begin[mine] - bounds[a]).tolist(), (end[mine] - bounds[a]).tolist()), strict=True):
@@ -122,7 +124,8 @@ def format_chat(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
             )
 
     turns = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    spread = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())  # rows of a null id have nothing to meet
+    dealt = turns.repartition("conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(write, schema)
 
 
@@ -137,11 +140,14 @@ def read_turns(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:
         at = m.end()
 
 
-DIGEST_SCHEMA = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+def digest(chunks: DataFrame, in_order: bool = False) -> DataFrame:
+    """Read formatted chunks back: one row of counts and digests for each conversation.
 
-
-def digest(chunks: DataFrame) -> DataFrame:
-    """Read formatted chunks back, in the order :func:`format_chat` left them: counts and digests of each conversation."""
+    ``in_order``: the chunks come straight from :func:`format_chat`; those of a table that was stored are dealt and sorted
+    again.  Chunks of a null id are conversations each, an empty table gives no rows, texts and roles may be empty.
+    """
+    if not in_order:
+        chunks = chunks.repartition("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())).sortWithinPartitions("conv_id", "chunk")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
@@ -171,8 +177,8 @@ def digest(chunks: DataFrame) -> DataFrame:
         if held is not None:
             yield done([held])
 
-    kind = chunks.schema["conv_id"].dataType.simpleString()
-    return chunks.mapInArrow(read, DIGEST_SCHEMA.format(id=kind))
+    kinds = {"conv_id": chunks.schema["conv_id"].dataType, "n_turns": T.LongType(), "turns_sha256": T.StringType(), "loss_chars": T.LongType(), "loss_sha256": T.StringType(), "formatted_chars": T.LongType()}
+    return chunks.mapInArrow(read, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
 
 
 ORACLE_SQL = r"""
@@ -186,5 +192,5 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM e) GROUP BY conv_id, own
 """

@@ -17,7 +17,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digest(chat.format_chat(rows.unionByName(extra)))
+    return chat.digest(chat.format_chat(rows.unionByName(extra)), in_order=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
