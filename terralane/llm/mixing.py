@@ -38,6 +38,8 @@ def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, most: int
     Weights 1..cycle go round the sources by code point, null last.  The budget is the sum of all sizes; no target is above
     ``most`` times its source, and what it can't take goes to the others by weight.  Poured like water: with sources by
     rising capacity per weight, those are full that come before the first whose share of the rest fits.
+
+    The table has one row per source, so one task orders it; that holds for tens of millions of sources.
     """
     by_name = Window.orderBy(F.col(source).asc_nulls_last())
     w = F.col("_w")
@@ -81,7 +83,8 @@ def thresholds(docs: DataFrame, goals: DataFrame, source: str = "_s") -> DataFra
         )
     # The last bucket is one hash; it is in if that comes nearer to the budget.
     nearer = F.col("upto") - F.col("budget") <= F.col("budget") - F.col("before")
-    return state.select(source, "copies", F.when(nearer, F.col("lead")).otherwise(F.col("lead") - 1).alias("last"))
+    last = F.when(F.col("budget") <= 0, -1).when(nearer, F.col("lead")).otherwise(F.col("lead") - 1)  # no hash is below 0
+    return state.select(source, "copies", last.cast("long").alias("last"))
 
 
 def plan(docs: DataFrame) -> DataFrame:
@@ -106,8 +109,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     """How often the mix takes each document: doc_id, size, source_size, target, taken (words, repeats counted), copies.
 
     Rows of one source and id share a hash, so they are taken together; a null source is one of its own, null ids hash like
-    an empty string, a null text has size 0 and takes 0 words (it goes with its hash).  Other columns are not read.  An empty
-    table gives no rows.
+    an empty string, a null or empty text has size 0 and takes 0 words (it goes with its hash), a long one is counted whole.
+    Other columns are not read.  An empty table gives no rows.
     """
     docs = narrow(df, doc_id, text, source)
     copies = _copies(F.col("hash"))
@@ -115,11 +118,15 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it.  The plan is joined by source; no text is shuffled for it."""
+    """The rows of ``df`` with all their columns, whatever these are called, each as often as the mix takes it: 0 to 3 times.
+
+    Nulls, ties, repeated rows and empty tables are as in :func:`mix`; a text without words goes with its hash like others.
+    The plan is joined by source; no text is shuffled for it.
+    """
     limits = plan(narrow(df, doc_id, text, source))
-    joined = df.withColumn("_s", F.struct(F.col(source).alias("v"))).join(limits, "_s")
-    times = F.explode(F.array_repeat(F.lit(0), _copies(place_hash(doc_id)).cast("int"))).alias("_time")
-    return joined.select(*df.columns, times).drop("_time")
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(F.col(source).alias("v")).alias("_s"), place_hash(doc_id).alias("hash"))
+    times = F.explode(F.array_repeat(F.lit(0), _copies(F.col("hash")).cast("int"))).alias("time")
+    return wide.join(limits, "_s").select("row", times).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -143,10 +150,10 @@ c AS (SELECT b.source, max(CASE WHEN upto <= g.target - g.copies * g.source_size
              coalesce(max(CASE WHEN upto <= g.target - g.copies * g.source_size THEN upto END), 0) AS in_upto
       FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source GROUP BY b.source)
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, g.source_size, g.target,
-       CAST(d.size * (g.copies + CASE WHEN d.h <= CASE WHEN c.next_h IS NOT NULL
+       CAST(d.size * (g.copies + CASE WHEN d.h <= CASE WHEN g.target - g.copies * g.source_size <= 0 THEN -1 WHEN c.next_h IS NOT NULL
               AND c.next_upto - (g.target - g.copies * g.source_size) <= (g.target - g.copies * g.source_size) - c.in_upto
               THEN c.next_h ELSE c.last_in END THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(g.copies + CASE WHEN d.h <= CASE WHEN c.next_h IS NOT NULL
+       CAST(g.copies + CASE WHEN d.h <= CASE WHEN g.target - g.copies * g.source_size <= 0 THEN -1 WHEN c.next_h IS NOT NULL
               AND c.next_upto - (g.target - g.copies * g.source_size) <= (g.target - g.copies * g.source_size) - c.in_upto
               THEN c.next_h ELSE c.last_in END THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
