@@ -11,6 +11,24 @@ import json
 import numpy as np
 
 U64 = np.uint64
+_ONES = U64(0x0101010101010101)
+#: Place of the k-th one of each byte.
+_PLACE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    for _k, _at in enumerate(i for i in range(8) if _byte >> i & 1):
+        _PLACE[_byte, _k] = _at
+
+
+def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one, from 0, of each 64-bit word, by running sums of its bytes' ones (the public broadword method)."""
+    k = k.astype(U64)
+    s = x - (x >> U64(1) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + (s >> U64(2) & U64(0x3333333333333333))
+    s = (s + (s >> U64(4)) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    high = U64(0x8080808080808080)
+    at = (((k * _ONES | high) - s & high) >> U64(7)) * _ONES >> U64(56) << U64(3)
+    rank = k - ((s << U64(8)) >> at & U64(255))
+    return (at + _PLACE[x >> at & U64(255), rank.astype(np.int64) & 7]).astype(np.int64)
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -72,23 +90,22 @@ class Sequence:
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high part's bits, from 0."""
         word = np.searchsorted(self._zeros, k, side="right") - 1
-        left = k - self._zeros[word]
-        x = ~self._high[word]
-        at = np.zeros(len(k), U64)
-        for width in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(x >> at & U64((1 << width) - 1)).astype(np.int64)
-            beyond = left >= inside
-            left = left - inside * beyond
-            at += U64(width) * beyond.astype(U64)
-        return word * 64 + at.astype(np.int64)
+        return word * 64 + select_in_word(~self._high[word], k - self._zeros[word])
 
     def _range(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the first number not below each value, and where the numbers with its high part end."""
         high = (values >> U64(self.low_bits)).astype(np.int64)
-        start = np.zeros(len(values), np.int64)
+        zero = np.full(len(values), -1, np.int64)
         later = high > 0
-        start[later] = self._select_zero(high[later] - 1) - (high[later] - 1)
-        end = self._select_zero(high) - high
+        zero[later] = self._select_zero(high[later] - 1)
+        start = zero - high + 1
+        # The ones behind that zero are the numbers with this high part; they seldom go on in the next word.
+        shift = np.where(later, (zero & 63) + 1, 0)
+        x = self._high[np.maximum(zero, 0) >> 6] >> (shift >> 1).astype(U64) >> (shift - (shift >> 1)).astype(U64)
+        ones = np.bitwise_count(x & ~(x + U64(1))).astype(np.int64)
+        end = start + ones
+        on = np.flatnonzero(ones >= 64 - shift)
+        end[on] = self._select_zero(high[on]) - high[on]
         stop = end.copy()
         want = values & U64((1 << self.low_bits) - 1)
         live = np.flatnonzero(start < stop)
@@ -124,15 +141,7 @@ class Sequence:
         """High parts: the place of the i-th one, less i."""
         ones = np.arange(len(self._zeros), dtype=np.int64) * 64 - self._zeros
         word = np.searchsorted(ones, i, side="right") - 1
-        left = i - ones[word]
-        x = self._high[word]
-        at = np.zeros(len(i), U64)
-        for width in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(x >> at & U64((1 << width) - 1)).astype(np.int64)
-            beyond = left >= inside
-            left = left - inside * beyond
-            at += U64(width) * beyond.astype(U64)
-        return (word * 64 + at.astype(np.int64) - i).astype(U64)
+        return (word * 64 + select_in_word(self._high[word], i - ones[word]) - i).astype(U64)
 
     def decode(self) -> np.ndarray:
         """All numbers."""

@@ -236,8 +236,8 @@ class Vocabulary:
 class Level:
     """Grams of ``n`` words over ``tokens`` occurrences of their contexts, dealt into ``shards``."""
 
-    def __init__(self, n: int, files: Files, n_words: int, tokens: int, shards: int):
-        self.n, self.files, self.n_words, self.tokens = n, files, n_words, tokens
+    def __init__(self, n: int, files: Files, n_words: int, tokens: int, shards: int, last: bool):
+        self.n, self.files, self.n_words, self.tokens, self.last = n, files, n_words, tokens, last
         # A shard's keys, (context from the shard's start) * n_words + word, must fit 64 bits.
         self.shards = max(shards, -(-tokens // TOKENS_PER_SHARD), (tokens * n_words >> 62) + 1)
         self.span = (tokens // self.shards + 3) * n_words
@@ -286,7 +286,8 @@ class Level:
         local = np.repeat(np.arange(len(first), dtype=np.int64), run).astype(U64) * v + word
         arrays = encode(relative[first], self.tokens // self.shards + 3, "c") | encode(np.append(first, len(keys)), len(keys) + 1, "p") | encode(local, len(first) * self.n_words, "s")
         upto = np.concatenate([[0], np.cumsum(counts)])
-        arrays["upto"] = upto.astype(np.uint32 if upto[-1] < 1 << 32 else np.int64)
+        if not self.last:  # grams of the last level are no contexts, so need no number
+            arrays["upto"] = upto.astype(np.uint32 if upto[-1] < 1 << 32 else np.int64)
         arrays["quantum"] = quantise((counts - DISCOUNT) / np.repeat(of_context, run))
         write_shared(f"{self.files.folder}/level{self.n}-{shard}.bin", pack(arrays))
         base = int(self.start(np.array([shard]))[0])
@@ -295,7 +296,7 @@ class Level:
 
     def find(self, context: np.ndarray, count: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of grams in the order of (context, word), words that are not known being -1: the discounted probability, 0 if
-        unseen; the context's successors; the gram's number and count, 0 if unseen."""
+        unseen; the context's successors; the gram's number and count, 0 if unseen or on the last level."""
         p, follow = np.zeros(len(context)), np.zeros(len(context), np.int64)
         before, own = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
         shard, key = self.place(context, count, np.maximum(word, 0))
@@ -316,8 +317,9 @@ class Level:
             j = Sequence(part, "s").find(at[live].astype(U64) * v + w[live].astype(U64))
             hit, j = a + live[j >= 0], j[j >= 0]
             p[hit] = _scale[part["quantum"][j]]
-            before[hit] = part["upto"][j] + self._before[s]
-            own[hit] = part["upto"][j + 1] - part["upto"][j].astype(np.int64)
+            if not self.last:
+                before[hit] = part["upto"][j] + self._before[s]
+                own[hit] = part["upto"][j + 1] - part["upto"][j].astype(np.int64)
         if len(self._ends):
             k = np.minimum(np.searchsorted(self._ends, context), len(self._ends) - 1)
             follow = np.where(self._ends[k] == context, self._ends_n[k], follow)
@@ -457,7 +459,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
     vocabulary = _train_words(docs, text, files)
     model, tokens = Trie(vocabulary, []), vocabulary.n_tokens
     for n in range(2, order + 1):
-        level = Level(n, files, vocabulary.n_words, tokens, shuffle_partitions(spark))
+        level = Level(n, files, vocabulary.n_words, tokens, shuffle_partitions(spark), n == order)
         if not tokens:
             break
         _train_level(docs, text, model, level)
