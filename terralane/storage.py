@@ -45,6 +45,15 @@ def scope() -> Iterator[list[str]]:
         _scopes[:] = [s for s in _scopes if s is not made]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Delete the tables that are made inside, but for paths that are added to the set."""
+    kept: set[str] = set()
+    with scope() as made:
+        yield kept
+    remove(spark, *(p for p in made if p not in kept))
+
+
 def settle(build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
     """Write what ``build`` gives, then delete every table that was made on the way; return the table and its path.
 
