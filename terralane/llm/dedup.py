@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import components
-from ..storage import materialize, remove
+from ..storage import materialize, remove, scratch
 from . import words
 
 REGISTERS, BAND = 256, 6
@@ -153,11 +154,10 @@ def set_digest(shingle: np.ndarray) -> int:
 
 
 def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, digest (two halves of the set's 128-bit digest, null if empty), registers, *keep."""
+    """doc_id, n_shingles, d1 and d2 (two halves of the set's 128-bit digest, null if empty), registers, *keep."""
     kept = [df.schema[c] for c in keep]
-    id_type = df.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {id_type}", "n_shingles long", "d1 long", "d2 long", "registers binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
-    names = ["doc_id", "n_shingles", "d1", "d2", "registers", *keep]
+    own = [df.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")), T.StructField("registers", T.BinaryType())]
+    schema = T.StructType([*own, *kept])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
                     np.cumsum(_salted(shingle, salt), out=total[1:])
                     halves.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64), mask=n == 0))
                 part = batch.slice(first, rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *halves, pa.array([r.tobytes() for r in reg], pa.binary()), *part.columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *halves, pa.array([r.tobytes() for r in reg], pa.binary()), *part.columns[2:]], schema.names)
 
     return df.select("doc_id", "text", *keep).mapInArrow(make, schema)
 
@@ -345,28 +345,29 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the classes that have verified links."""
     spark = df.sparkSession
-    banded, banded_path = materialize(bands(classes), "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members, members_path = materialize(banded.join(shared, "band"), "members")
-    remove(spark, banded_path)
-    tested, _ = materialize(estimated(stars(members), classes, percent / 100 * SLACK), "pairs")
-    links, _ = materialize(verified(tested, classes, df, k, percent), "links")
-    found, _ = materialize(components(links), "components")
-    # Groups that still span components: their members outside the main one, against all others.
-    several = members.join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
-    spans = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-    groups, groups_path = materialize(several.join(spans, "band", "left_semi"), "spanning")
-    remove(spark, members_path)
-    if groups.isEmpty():
-        return found
-    inside = classes.select("cls", "rep", "d1").join(groups.select("cls").distinct(), "cls", "left_semi")
-    sets, sets_path = materialize(short_sets(df, inside, k), "sets")
-    pairs, _ = materialize(across(groups, classes, sets, percent), "cross-pairs")
-    remove(spark, groups_path, sets_path)
-    if pairs.isEmpty():
-        return found
-    more, _ = materialize(verified(pairs, classes, df, k, percent), "cross-links")
-    return materialize(components(links.unionByName(more)), "components")[0]
+    with scratch(spark) as kept:
+        banded, banded_path = materialize(bands(classes), "bands")
+        shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        members, members_path = materialize(banded.join(shared, "band"), "members")
+        remove(spark, banded_path)
+        tested, _ = materialize(estimated(stars(members), classes, percent / 100 * SLACK), "pairs")
+        links, _ = materialize(verified(tested, classes, df, k, percent), "links")
+        found, path = materialize(components(links), "components")
+        # Groups that still span components: their members outside the main one, against all others.
+        several = members.join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
+        spans = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
+        groups, _ = materialize(several.join(spans, "band", "left_semi"), "spanning")
+        remove(spark, members_path)
+        if not groups.isEmpty():
+            inside = classes.select("cls", "rep", "d1").join(groups.select("cls").distinct(), "cls", "left_semi")
+            sets, sets_path = materialize(short_sets(df, inside, k), "sets")
+            pairs, _ = materialize(across(groups, classes, sets, percent), "cross-pairs")
+            remove(spark, sets_path)
+            if not pairs.isEmpty():
+                more, _ = materialize(verified(pairs, classes, df, k, percent), "cross-links")
+                found, path = materialize(components(links.unionByName(more)), "components")
+        kept.add(path)
+    return found
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -376,27 +377,45 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[st
     component_id) and one (true for a single row of each group, one that is kept; the rows' order in storage breaks ties
     between repeated rows).  Documents without words or text are linked with nothing.  Rows of a null id take part only
     through rows of the same set that have one; otherwise their component is null and they are kept.  Repeated rows have one
-    component; a doc_id repeated with other texts may have several.  An empty table gives no rows, columns of other names are
-    left out unless named in ``keep``.
+    component; a doc_id repeated with other texts may have several.  Long texts are shingled whole.  An empty table gives no
+    rows, columns of other names are left out unless named in ``keep``, where the result's own names may not stand.
     """
+    if clash := set(keep) & {"n_shingles", "component_id", "kept", "one"}:
+        raise ValueError(f"the result has columns of these names already: {', '.join(sorted(clash))}")
     keep = tuple(c for c in keep if c != "doc_id")
-    table, _ = materialize(sketches(df, k, keep).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    table = table.withColumn("cls", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2", "n_shingles")))
-    grouped = table.where("d1 is not null and doc_id is not null").groupBy("cls")
-    classes, _ = materialize(grouped.agg(F.min("doc_id").alias("rep"), F.first("d1").alias("d1"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    found = class_components(df, classes, k, percent)
-    comp = F.coalesce("component", "cls")
-    mapped = classes.select("cls", "rep").join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", comp.alias("component"))
-    names, _ = materialize(mapped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct("rep", "cls")).alias("head")), "names")
-    # The row that stands for a group: the first of its head class's rows with the group's id.
-    heads = table.select("cls", "doc_id", "_row").join(names.select(F.col("head").alias("cls"), "component_id"), "cls").where("doc_id = component_id")
-    firsts = heads.groupBy("cls").agg(F.min("_row").alias("first_row"))
-    named = mapped.join(names.drop("head"), "component").select("cls", "component_id").join(firsts, "cls", "left")
-    named, _ = materialize(named, "named")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    out = _grouped(df.select("doc_id", "text", row.alias("_row")), k, percent)
+    return out.select(*([F.col("_row.*")] if keep else []), "doc_id", "n_shingles", "component_id", "kept", "one")
+
+
+def representatives(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of :func:`near_duplicates`, and all rows in no group, with all their columns, whatever these are called."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return _grouped(df.select("doc_id", "text", row.alias("_row")), k, percent).where("one").select("_row.*")
+
+
+def _grouped(df: DataFrame, k: int, percent: int) -> DataFrame:
+    """From (doc_id, text, _row): doc_id, _row, n_shingles, component_id, kept, one."""
+    spark = df.sparkSession
+    with scratch(spark) as left:
+        table, path = materialize(sketches(df, k, ("_row",)).withColumn("_n", F.monotonically_increasing_id()), "sketches")
+        left.add(path)
+        table = table.withColumn("cls", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2", "n_shingles")))
+        grouped = table.where("d1 is not null and doc_id is not null").groupBy("cls")
+        classes, _ = materialize(grouped.agg(F.min("doc_id").alias("rep"), F.first("d1").alias("d1"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+        found = class_components(df, classes, k, percent)
+        comp = F.coalesce("component", "cls")
+        mapped = classes.select("cls", "rep").join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", comp.alias("component"))
+        names, _ = materialize(mapped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct("rep", "cls")).alias("head")), "names")
+        # The row that stands for a group: the first of its head class's rows with the group's id.
+        heads = table.select("cls", "doc_id", "_n").join(names.select(F.col("head").alias("cls"), "component_id"), "cls").where("doc_id = component_id")
+        firsts = heads.groupBy("cls").agg(F.min("_n").alias("first_row"))
+        named, path = materialize(mapped.join(names.drop("head"), "component").select("cls", "component_id").join(firsts, "cls", "left"), "named")
+        left.add(path)
     out = table.join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    one = F.when(F.col("cls").isNull() | F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("_row") == F.col("first_row"), F.lit(False)))
-    return out.select(*keep, "doc_id", "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))
+    one = F.when(F.col("cls").isNull() | F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("_n") == F.col("first_row"), F.lit(False)))
+    return out.select("doc_id", "_row", "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))
 
 
 #: Rows of near_duplicates(k=2, percent=80) for tables whose ids are unique.
