@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, scope, scratch
 
 #: Bits of the hash that one histogram resolves, and histograms in all: 12 x 5 = 60 bits.
 BITS, LEVELS = 12, 5
@@ -89,11 +89,14 @@ def thresholds(docs: DataFrame, goals: DataFrame, source: str = "_s") -> DataFra
 
 def plan(docs: DataFrame) -> DataFrame:
     """From (_s, size, hash), one row per source: _s (a struct that holds the source), source_size, target, copies, last."""
-    sizes, _ = materialize(docs.groupBy("_s").agg(F.sum("size").alias("source_size")), "mix-sources")
-    goals = targets(sizes.withColumn("_v", F.col("_s.v")), "_v").withColumn("_s", F.struct(F.col("_v").alias("v"))).drop("_v")
-    goals, _ = materialize(goals, "mix-targets")
-    limits = thresholds(docs, goals)
-    return materialize(goals.join(limits, "_s"), "mix-plan")[0]
+    with scratch(docs.sparkSession) as kept:
+        sizes, _ = materialize(docs.groupBy("_s").agg(F.sum("size").alias("source_size")), "mix-sources")
+        goals = targets(sizes.withColumn("_v", F.col("_s.v")), "_v").withColumn("_s", F.struct(F.col("_v").alias("v"))).drop("_v")
+        goals, _ = materialize(goals, "mix-targets")
+        limits = thresholds(docs, goals)
+        out, path = materialize(goals.join(limits, "_s"), "mix-plan")
+        kept.add(path)
+    return out
 
 
 def narrow(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -123,7 +126,10 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     Nulls, ties, repeated rows and empty tables are as in :func:`mix`; a text without words goes with its hash like others.
     The plan is joined by source; no text is shuffled for it.
     """
-    limits = plan(narrow(df, doc_id, text, source))
+    with scratch(df.sparkSession) as kept:
+        with scope() as made:
+            limits = plan(narrow(df, doc_id, text, source))
+        kept.add(made[-1])  # the plan
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(F.col(source).alias("v")).alias("_s"), place_hash(doc_id).alias("hash"))
     times = F.explode(F.array_repeat(F.lit(0), _copies(F.col("hash")).cast("int"))).alias("time")
     return wide.join(limits, "_s").select("row", times).select("row.*")
