@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize
+from ..storage import materialize, remove
 from . import words
 
 BUCKETS = 1 << 16
@@ -63,7 +63,7 @@ def good_share(docs: DataFrame, labels: DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """Log ratios by bucket, and :func:`good_share`."""
-    sample, _ = materialize(label_sample(labels, fit_rows), "labels")
+    sample, path = materialize(label_sample(labels, fit_rows), "labels")
     # At most fit_rows rows.
     flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "target")
 
@@ -78,6 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
         yield pa.RecordBatch.from_pydict({"bucket": at, "raw": raw[at], "target": target[at]})
 
     counts = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most BUCKETS rows
+    remove(docs.sparkSession, path)
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = np.asarray(counts["bucket"]).astype(int)
     raw[at], target[at] = np.asarray(counts["raw"]), np.asarray(counts["target"])
@@ -126,11 +127,11 @@ def kth_highest(table: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def _threshold(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np.ndarray, DataFrame, float]:
-    """The weights, each row's scores (written; without texts), and the last key that is kept."""
+def _threshold(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np.ndarray, DataFrame, str, float]:
+    """The weights, each row's scores (written, without texts) and their path, and the last key that is kept."""
     weights, share = fit(docs, labels, fit_rows)
-    scored, _ = materialize(_keyed(score(docs, weights, ("doc_id",))), "importance")
-    return weights, scored, kth_highest(scored, "gumbel_key", int(round(share * scored.count())))
+    scored, path = materialize(_keyed(score(docs, weights, ("doc_id",))), "importance")
+    return weights, scored, path, kth_highest(scored, "gumbel_key", int(round(share * scored.count())))
 
 
 def _keyed(scored: DataFrame) -> DataFrame:
@@ -142,19 +143,20 @@ def select(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     Without labelled documents all ratios are 1 and all rows are kept; an empty table gives no rows.  Rows that tie with the
     last one kept are kept too, so repeated rows share one verdict.  Null ids share one noise value; null and empty texts have
-    ratio 1; other columns are not read.
+    ratio 1, long ones are counted and scored whole; labels without an id or a quality count for nothing; other columns are
+    not read.
     """
-    _, scored, last = _threshold(docs, labels, fit_rows)
+    _, scored, _, last = _threshold(docs, labels, fit_rows)
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(last)).select("doc_id", "n_features", "log_ratio", "gumbel_key", "kept")
 
 
 def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that :func:`select` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`select` keeps, with all their columns, whatever these are called.
 
-    Texts are scored once for the threshold and once more to be filtered, so that no copy of them is written.
+    Nulls, ties, repeated rows, long texts and empty tables are as there.  Texts are scored once for the threshold and once
+    more to be filtered, so that no copy of them is written.
     """
-    weights, _, last = _threshold(docs, labels, fit_rows)
-    names = {c: f"keep_{c}" for c in docs.columns}
-    wide = docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in names.items()])
-    scored = _keyed(score(wide, weights, ("doc_id", *names.values())))
-    return scored.where(F.col("gumbel_key") >= F.lit(last)).select(*[F.col(k).alias(c) for c, k in names.items()])
+    weights, _, path, last = _threshold(docs, labels, fit_rows)
+    remove(docs.sparkSession, path)
+    wide = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _keyed(score(wide, weights, ("doc_id", "row"))).where(F.col("gumbel_key") >= F.lit(last)).select("row.*")
