@@ -85,15 +85,14 @@ def parse(digest: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Add the digest of each whole text (null: of an empty one); equal texts have equal digests."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.StringType())])
+    kept = [f for f in df.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.StringType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != name]
-            found = digests(batch.column(batch.schema.names.index(text)))[2]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(found, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(digests(batch.column(0))[2], pa.string())], schema.names)
 
-    return df.mapInArrow(add, schema)
+    return df.select(F.col(text).alias("_text"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)]).mapInArrow(add, schema)
 
 
 def _range_of(key: Column, bounds: Column) -> Column:

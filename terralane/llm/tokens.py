@@ -182,22 +182,20 @@ def token_counts(df: DataFrame, text: str = "text", n_bytes: str = "n_bytes", n_
     Python: the text column goes in with a row's other columns untouched.
     """
     path = path or default_tokenizer_path()
-    kept = [f for f in df.schema.fields if f.name not in (n_bytes, n_tokens)]
-    keep = [f.name for f in kept if f.name != text]
-    schema = T.StructType([f for f in kept if f.name != text] + [T.StructField(n_bytes, T.LongType()), T.StructField(n_tokens, T.LongType())])
+    kept = [f for f in df.schema.fields if f.name not in (n_bytes, n_tokens, text)]
+    schema = T.StructType([*kept, T.StructField(n_bytes, T.LongType()), T.StructField(n_tokens, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            for start, stop in byte_slices(column):
-                part = column.slice(start, stop - start)
-                counts = np.diff(enc.batch(part.to_pylist())[1])
-                size = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(part), 0), pa.int64())
-                rest = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([rest.column(rest.schema.names.index(k)) for k in keep] + [size, pa.array(counts, pa.int64())], [*keep, n_bytes, n_tokens])
-
-    return df.select(*[f.name for f in kept]).mapInArrow(count, schema)
+            for start, stop in byte_slices(batch.column(0)):
+                part = batch.slice(start, stop - start)
+                counts = np.diff(enc.batch(part.column(0).to_pylist())[1])
+                size = pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(part.column(0)), 0), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], size, pa.array(counts, pa.int64())], schema.names)
+
+    plain = df.select(F.col(text), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])  # names with dots do not go into Arrow functions
+    return plain.mapInArrow(count, schema)
 
 
 def over_limit(counts: DataFrame, limit: int = 1024, n_tokens: str = "n_tokens") -> DataFrame:
