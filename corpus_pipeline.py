@@ -8,32 +8,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terralane.llm import classifier, dedup, mixing, packing, quality
-from terralane.storage import materialize
+from terralane.storage import remove, settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules adapted to their group; short ones may stay, but for those without a word."""
+    """Documents that pass the rules adapted to their language and source.
+
+    Short ones may stay, but for those without a word: null and empty texts go.  Null languages and sources are groups of
+    their own; repeated rows share a verdict; long texts are measured whole; an empty table gives no rows.
+    """
     return quality.passing(docs, least_words=1)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample keeps."""
+    """Documents that the importance sample keeps.
+
+    Ties with the last one kept stay, so repeated rows share a verdict; without labels all stay; null ids share one noise
+    value; null and empty texts have ratio 1; long texts are scored whole; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.sampled(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more."""
-    return dedup.near_duplicates(docs, k=5, percent=80, keep=tuple(docs.columns)).where("one").select(*docs.columns)
+    """One document of each group of near duplicates: 5-word shingles, similarity 0.8 or more.
+
+    Of repeated rows the first in storage stays; documents without words or without an id that no other has a copy of stay;
+    long texts are shingled whole; an empty table gives no rows.
+    """
+    return dedup.representatives(docs, k=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, 0 to 3 times."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents as often as the mix takes them, 0 to 3 times.
+
+    A null source is one of its own; rows of one source and id go together; null ids hash like an empty one; a text without
+    words goes with its hash; an empty table gives no rows.
+    """
+    return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed like others; a long text is encoded whole
+    and cut into pieces; an empty table gives no rows.
+    """
     return packing.pack(docs, max_len=2048)
 
 
@@ -50,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        docs, path = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
