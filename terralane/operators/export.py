@@ -12,15 +12,72 @@ from .spatial import thin
 KNOWN_RADIUS_M, SPACING_M, PER_ROAD = 15.0, 100.0, 250
 SCORE_COLUMNS = ("discovery_score", "culvert_likelihood_score", "culvert_probability")
 PUBLISHED = (
-    "candidate_id discovery_rank discovery_score discovery_status is_known_field_match evidence_score model_probability_score model_rank_score priority_rank priority_bucket "
-    "culvert_likelihood_score culvert_probability road_name stream_name matched_route road_id stream_id source evidence_summary google_earth_url latitude longitude "
-    "road_stream_distance_m crossing_angle_degrees road_stream_proximity_score drainage_strength_score valley_position_score crossing_geometry_score terrain_break_score "
-    "road_context_score dem_route_drainage_score osm_culvert_tag_score field_report_support_score field_corridor_support_score non_culvert_structure_penalty "
-    "dist_to_known_culvert_m is_culvert stream_order road_highway road_bridge road_tunnel stream_waterway stream_tunnel stream_culvert field_report_source_file field_report_date "
-    "nearest_field_report_date nearest_field_report_route nearest_field_report_culvert_id nearest_field_report_source_file slope_degrees valley_depth_9x9_m valley_depth_31x31_m "
-    "topographic_position_9x9_m topographic_wetness_proxy_9x9 topographic_wetness_proxy_31x31 low_slope_valley_score_9x9 terrain_break_score_proxy_9x9 flow_accumulation_log "
-    "flow_accumulation_rank_pct drainage_area_log drainage_area_rank_pct terrain_roughness_9x9_m stream_density_250m_m_per_sqkm road_density_250m_m_per_sqkm"
-).split()
+    "candidate_id",
+    "discovery_rank",
+    "discovery_score",
+    "discovery_status",
+    "is_known_field_match",
+    "evidence_score",
+    "model_probability_score",
+    "model_rank_score",
+    "priority_rank",
+    "priority_bucket",
+    "culvert_likelihood_score",
+    "culvert_probability",
+    "road_name",
+    "stream_name",
+    "matched_route",
+    "road_id",
+    "stream_id",
+    "source",
+    "evidence_summary",
+    "google_earth_url",
+    "latitude",
+    "longitude",
+    "road_stream_distance_m",
+    "crossing_angle_degrees",
+    "road_stream_proximity_score",
+    "drainage_strength_score",
+    "valley_position_score",
+    "crossing_geometry_score",
+    "terrain_break_score",
+    "road_context_score",
+    "dem_route_drainage_score",
+    "osm_culvert_tag_score",
+    "field_report_support_score",
+    "field_corridor_support_score",
+    "non_culvert_structure_penalty",
+    "dist_to_known_culvert_m",
+    "is_culvert",
+    "stream_order",
+    "road_highway",
+    "road_bridge",
+    "road_tunnel",
+    "stream_waterway",
+    "stream_tunnel",
+    "stream_culvert",
+    "field_report_source_file",
+    "field_report_date",
+    "nearest_field_report_date",
+    "nearest_field_report_route",
+    "nearest_field_report_culvert_id",
+    "nearest_field_report_source_file",
+    "slope_degrees",
+    "valley_depth_9x9_m",
+    "valley_depth_31x31_m",
+    "topographic_position_9x9_m",
+    "topographic_wetness_proxy_9x9",
+    "topographic_wetness_proxy_31x31",
+    "low_slope_valley_score_9x9",
+    "terrain_break_score_proxy_9x9",
+    "flow_accumulation_log",
+    "flow_accumulation_rank_pct",
+    "drainage_area_log",
+    "drainage_area_rank_pct",
+    "terrain_roughness_9x9_m",
+    "stream_density_250m_m_per_sqkm",
+    "road_density_250m_m_per_sqkm",
+)
 
 
 def pool(df: DataFrame) -> DataFrame:
@@ -40,6 +97,16 @@ def score_column(df: DataFrame) -> str | None:
     return next((c for c in SCORE_COLUMNS if c in df.columns), None)
 
 
+def preferred_order(df: DataFrame) -> list:
+    """How published rows are ordered before their id: by discovery_rank, else by falling score, else by priority_rank."""
+    score = score_column(df)
+    if "discovery_rank" in df.columns:
+        return ["discovery_rank"]
+    if score:
+        return [(-F.coalesce(number(score), F.lit(float("-inf")))).alias("_score")]
+    return ["priority_rank"] if "priority_rank" in df.columns else []
+
+
 def road_key(df: DataFrame) -> Column:
     """The route, road name or road id, whichever says something first, with its kind in front."""
     def said(name: str) -> Column:
@@ -48,7 +115,7 @@ def road_key(df: DataFrame) -> Column:
     return F.coalesce(*map(said, ("matched_route", "road_name", "road_id")), F.lit("road:unknown"))
 
 
-def declutter(df: DataFrame, order: list[str], limit: int | None = None, spacing: float = SPACING_M, per_road: int = PER_ROAD, row: str = "candidate_id") -> DataFrame:
+def declutter(df: DataFrame, order: list, limit: int | None = None, spacing: float = SPACING_M, per_road: int = PER_ROAD, row: str = "candidate_id") -> DataFrame:
     """Rows a walk by ``order`` would publish: per road first, then by spacing, at most ``limit``."""
     kept = thin(df.withColumn("_road", road_key(df)), row, order, spacing, "_road", per_road).drop("_road")
     return kept.orderBy(*order, row).limit(limit) if limit else kept

@@ -26,12 +26,31 @@ VALLEY_INVERSE = ("topographic_position_9x9_m", "topographic_position_15x15_m")
 VALLEY_RAW = ("low_slope_valley_score_9x9",)
 TERRAIN = (
     "slope_degrees",
-    *(f"{kind}_3x3_m" for kind in ("elevation_relief", "terrain_roughness")),
-    *(c for w in ("9x9", "15x15", "31x31") for c in (f"elevation_relief_{w}_m", f"terrain_roughness_{w}_m", f"terrain_break_score_proxy_{w}")),
+    "elevation_relief_3x3_m",
+    "terrain_roughness_3x3_m",
+    "elevation_relief_9x9_m",
+    "terrain_roughness_9x9_m",
+    "terrain_break_score_proxy_9x9",
+    "elevation_relief_15x15_m",
+    "terrain_roughness_15x15_m",
+    "terrain_break_score_proxy_15x15",
+    "elevation_relief_31x31_m",
+    "terrain_roughness_31x31_m",
+    "terrain_break_score_proxy_31x31",
 )
 ROAD_DENSITIES = ("road_density_100m_m_per_sqkm", "road_density_250m_m_per_sqkm", "road_density_500m_m_per_sqkm", "road_density_m_per_sqkm")
 DEM_ROUTE_SCORES = ("valley_position_score", "terrain_break_score", "drainage_strength_score")
-DEM_ROUTE = tuple(f"{kind}_{w}{unit}" for kind, unit in (("topographic_wetness_proxy", ""), ("low_slope_valley_score", ""), ("negative_tpi", "_m")) for w in ("9x9", "15x15", "31x31"))
+DEM_ROUTE = (
+    "topographic_wetness_proxy_9x9",
+    "topographic_wetness_proxy_15x15",
+    "topographic_wetness_proxy_31x31",
+    "low_slope_valley_score_9x9",
+    "low_slope_valley_score_15x15",
+    "low_slope_valley_score_31x31",
+    "negative_tpi_9x9_m",
+    "negative_tpi_15x15_m",
+    "negative_tpi_31x31_m",
+)
 EVIDENCE = (
     ("road_stream_proximity_score", "road-drainage crossing", 0.6),
     ("drainage_strength_score", "strong drainage signal", 0.6),
