@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_utm, utm_zone
@@ -69,10 +69,19 @@ def collection(df: DataFrame, order: str) -> str:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, and the first that does not parse fails with its file and number."""
-    lines = spark.read.text(path).withColumns({"file": F.input_file_name(), "line_no": F.monotonically_increasing_id() + 1}).where(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    bad = parsed.where("r._bad is not null").orderBy("line_no").select("file", "line_no").first()
+    """JSON lines with line_no, counted from 1 in each file; blank lines are skipped, and the first that does not parse fails
+    with its file and number.
+
+    A line's number is that of the lines before it in its file: lines are counted by the parts in which Spark reads the file,
+    so no part, and no file, has to pass one task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per part of a file
+    starts = blocks.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_from"))
+    numbered = lines.join(starts, ["file", "_block"]).withColumn("line_no", F.col("_id") + F.col("_from")).where(F.trim("value") != "")
+    parsed = numbered.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    bad = parsed.where("r._bad is not null").orderBy("file", "line_no").select("file", "line_no").first()
     if bad:
         raise ValueError(f"invalid JSON at {bad['file']}:{bad['line_no']}")
     return parsed.select("line_no", "r.*").drop("_bad")

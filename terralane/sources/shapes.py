@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 import struct
 import zipfile
@@ -10,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, row long, kind string, parts string, attributes map<string,string>"
+SCHEMA = "file string, row long, kind string, parts string, attributes map<string,string>, epsg int"
 _KINDS = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 
 
@@ -22,6 +23,19 @@ def _files(path: str, suffixes: tuple[str, ...]) -> list[str]:
     return found
 
 
+def projection_code(text: str) -> int | None:
+    """The code of a .prj file: longitude and latitude, or a northern UTM zone, on two datums; None for no text."""
+    if not text.strip():
+        return None
+    american = re.search(r"NAD(?:_|\s)*(?:19)?83|North_American_1983", text) is not None
+    if not text.lstrip().upper().startswith("PROJC"):
+        return 4269 if american else 4326
+    zone = re.search(r"UTM[_\s]+zone[_\s]+(\d+)N", text, re.IGNORECASE)
+    if zone is None:
+        raise ValueError(f"unsupported coordinate system: {text[:80]}")
+    return (26900 if american else 32600) + int(zone[1])
+
+
 def shape_records(shp: bytes) -> Iterator[tuple[str | None, list]]:
     """(kind, parts) of each record; parts are lists of [x, y]; a null shape has kind None."""
     at = 100
@@ -120,12 +134,14 @@ class ShapefileReader(DataSourceReader):
             with zipfile.ZipFile(partition.path) as z:
                 names = {Path(n).suffix.lower(): n for n in z.namelist()}
                 shp, dbf = z.read(names[".shp"]), z.read(names[".dbf"])
+                code = projection_code(z.read(names[".prj"]).decode("utf-8", "replace")) if ".prj" in names else None
         else:
             stem = Path(partition.path)
             shp, dbf = stem.read_bytes(), stem.with_suffix(".dbf").read_bytes()
+            code = projection_code(stem.with_suffix(".prj").read_text("utf-8", "replace")) if stem.with_suffix(".prj").exists() else None
         for i, ((kind, parts), row) in enumerate(zip(shape_records(shp), table_rows(dbf), strict=False)):
             if kind is not None:
-                yield partition.path, i, kind, json.dumps(parts), row
+                yield partition.path, i, kind, json.dumps(parts), row, code
 
 
 class PackageReader(DataSourceReader):
@@ -140,9 +156,12 @@ class PackageReader(DataSourceReader):
 
         with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
             layers = dict(db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall())
+            columns = [c[1] for c in db.execute("PRAGMA table_info(gpkg_geometry_columns)")]
+            systems = dict(db.execute("SELECT table_name, srs_id FROM gpkg_geometry_columns").fetchall()) if "srs_id" in columns else {}
             if not layers or (self.layer and self.layer not in layers):
                 raise ValueError(f"no geometry layer {self.layer or ''} in {partition.path}")
             layer = self.layer or next(iter(layers))
+            code = systems[layer] if systems.get(layer, 0) > 0 else None  # 0 and -1 are undefined systems
             found = db.execute(f'SELECT * FROM "{layer}"')
             names = [c[0] for c in found.description]
             for i, values in enumerate(found):
@@ -150,7 +169,7 @@ class PackageReader(DataSourceReader):
                 blob = row.pop(layers[layer])
                 kind, parts = blob_geometry(blob) if blob else (None, [])
                 if kind is not None and parts:
-                    yield partition.path, i, kind, json.dumps(parts), {k: None if v is None else str(v) for k, v in row.items()}
+                    yield partition.path, i, kind, json.dumps(parts), {k: None if v is None else str(v) for k, v in row.items() if k != "_fid"}, code
 
 
 class ShapefileSource(DataSource):
