@@ -20,12 +20,27 @@ LOW_TEXT = "undiscovered candidate; lower confidence"
 
 
 def attach_probability(evidence: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
-    """Left join of culvert_probability on candidate_id; of repeated ids the first by ``order`` counts."""
-    if "culvert_probability" not in predictions.columns or "candidate_id" not in predictions.columns:
+    """Left join of culvert_probability on candidate_id; of repeated ids the first by ``order`` counts.
+
+    Where a table has no candidate_id, tables of equal length are joined by the place of their rows, in ``order`` if both have
+    it, else as they are stored; others get no probability.
+    """
+    if "culvert_probability" not in predictions.columns:
         return evidence
-    by = F.col(order) if order else F.monotonically_increasing_id()
-    first = predictions.withColumn("_o", by).groupBy("candidate_id").agg(F.min_by("culvert_probability", "_o").alias("culvert_probability"))
-    return evidence.drop("culvert_probability").join(first, "candidate_id", "left")
+    base = evidence.drop("culvert_probability")
+    if "candidate_id" in base.columns and "candidate_id" in predictions.columns:
+        by = F.col(order) if order else F.monotonically_increasing_id()
+        first = predictions.withColumn("_o", by).groupBy("candidate_id").agg(F.min_by("culvert_probability", "_o").alias("culvert_probability"))
+        return base.join(first, "candidate_id", "left")
+    if base.count() != predictions.count():
+        return base
+    named = order if order and order in base.columns and order in predictions.columns else None
+
+    def placed(df: DataFrame) -> DataFrame:
+        kept, _ = materialize(df.withColumn("_o", F.col(named) if named else F.monotonically_increasing_id()), "placed")
+        return global_rank(kept, F.lit(0.0), [F.col("_o")], "_place").drop("_o")
+
+    return placed(base).join(placed(predictions).select("_place", "culvert_probability"), "_place").drop("_place")
 
 
 def masks(df: DataFrame, known_radius_m: float) -> tuple[Column, Column]:

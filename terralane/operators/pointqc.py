@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import truthy
 from ..functions.geometry import inside_ring
+from ..functions.ranking import global_rank
 from .spatial import clusters, nearest
 
 # The decision tree's distances, and the flags that make a training point.
@@ -72,8 +73,18 @@ def analyze(points: DataFrame, row: str, roads: DataFrame | None = None, streams
 
 def number_points(points: DataFrame, order: str) -> DataFrame:
     """Add point_id, pt_0001 and on by the input's order."""
-    w = Window.orderBy(order)  # reported points: as many as reports name
-    return points.withColumn("point_id", F.format_string("pt_%04d", F.row_number().over(w)))
+    numbered = global_rank(points, F.lit(0.0), [F.col(order)], "_n")
+    return numbered.withColumn("point_id", F.format_string("pt_%04d", F.col("_n"))).drop("_n")
+
+
+def point_only(points: DataFrame) -> DataFrame:
+    """Points alone, without what reports say of them: row (from 1, by latitude and longitude), point_id, latitude, longitude.
+
+    ``points`` has row, by which they are numbered, longitude and latitude.
+    """
+    slim = number_points(points.select("row", "longitude", "latitude"), "row")
+    placed = global_rank(slim.withColumnRenamed("row", "_row"), -F.col("latitude"), [F.col("longitude"), F.col("_row")], "row")
+    return placed.select("row", "point_id", "latitude", "longitude")
 
 
 def training_points(points: DataFrame, accepted: tuple[str, ...] = TRAINING_FLAGS) -> DataFrame:
@@ -92,3 +103,103 @@ def distance_stats(df: DataFrame, column: str) -> DataFrame:
 def cluster_sizes(df: DataFrame, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Clusters by falling size: cluster_id, points and centroid."""
     return df.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("points"), F.avg(lat).alias("centroid_latitude"), F.avg(lon).alias("centroid_longitude")).orderBy(F.desc("points"), "cluster_id")
+
+
+def summary(df: DataFrame, match_radius_m: float = 75.0, cluster_radius_m: float = 750.0) -> dict:
+    """Counts, bounds, distances, flags and clusters of analysed points; the few clusters and flags come to the driver."""
+    inside, matched = F.col("inside_analysis_extent"), F.col("matched_existing_candidate")
+    bounds = [f(c) for f, c in ((F.min, "longitude"), (F.min, "latitude"), (F.max, "longitude"), (F.max, "latitude"))]
+    n, *rest = df.agg(F.count("*"), *bounds, F.count_if(inside), F.count_if(~inside), F.count_if(matched), F.count_if(~matched)).first()
+    names = ("inside_analysis_extent", "outside_analysis_extent", "matched_existing_candidates", "unmatched_existing_candidates")
+
+    def stats(column: str) -> dict:
+        found = distance_stats(df, column).first().asDict()
+        return {} if found["min"] is None else found
+
+    flags = {r["analysis_flag"]: r["count"] for r in df.groupBy("analysis_flag").count().orderBy(F.desc("count"), "analysis_flag").collect()}
+    return {
+        "rows": n, "match_radius_m": float(match_radius_m), "cluster_radius_m": float(cluster_radius_m), "bounds": list(rest[:4]), **dict(zip(names, rest[4:], strict=True)),
+        **{c: stats(c) for c in ("nearest_road_distance_m", "nearest_stream_distance_m", "nearest_candidate_distance_m")},
+        "analysis_flags": flags, "clusters": [r.asDict() for r in cluster_sizes(df).collect()],
+    }
+
+
+# Columns of the analysis and of training points.
+ANALYZED = (
+    "point_id",
+    "latitude",
+    "longitude",
+    "inside_analysis_extent",
+    "nearest_road_distance_m",
+    "nearest_road_name",
+    "nearest_stream_distance_m",
+    "nearest_stream_name",
+    "nearest_candidate_distance_m",
+    "nearest_candidate_id",
+    "nearest_candidate_score",
+    "nearest_candidate_status",
+    "matched_existing_candidate",
+    "cluster_id",
+    "analysis_flag",
+)
+
+
+def run(points: DataFrame, roads: DataFrame | None = None, streams: DataFrame | None = None, candidates: DataFrame | None = None, boundary: DataFrame | None = None, match_radius_m: float = 75.0, cluster_radius_m: float = 750.0) -> tuple[DataFrame, dict]:
+    """Analyse a layer of points against the layers there are: (analysed points, summary).  All are vector layers.
+
+    A boundary decides what is inside, else the bounds of the other layers and a margin, else everything is.
+    """
+    from ..sources import maps, vector
+    from ..storage import materialize
+
+    places = point_only(vector.points(vector.to_lon_lat(points)).drop("longitude", "latitude").withColumnsRenamed({"x": "longitude", "y": "latitude"}))
+    places, _ = materialize(places, "qc-points")
+    if places.isEmpty():
+        raise ValueError("no points to analyse")
+    others = {k: v for k, v in (("roads", roads), ("streams", streams), ("candidates", candidates)) if v is not None and not v.isEmpty()}
+    if boundary is not None and not boundary.isEmpty():
+        marked = inside_boundary(places, vector.edges(vector.to_lon_lat(boundary)))
+    else:
+        ends = lambda layer: vector.to_lon_lat(layer).select(F.explode(F.flatten("parts")).alias("p")).select(F.col("p.x").alias("longitude"), F.col("p.y").alias("latitude"))
+        marked = inside_extent(places, [ends(v) for v in others.values()])
+    (own, *rest), _ = vector.to_metres(vector.of_points(marked.drop("row"), "longitude", "latitude").drop("row").withColumn("row", F.substring("point_id", 4, 20).cast("long")), *others.values())
+    found = dict(zip(others, rest, strict=True))
+    made: dict[str, DataFrame] = {}
+    for name in ("roads", "streams"):
+        if name in found:
+            attributes, segments = vector.lines(found[name])
+            made[name] = segments.join(attributes.select("line", maps.named(attributes).alias("name")), "line")
+    if "candidates" in found:
+        made["candidates"] = vector.points(found["candidates"])
+    metric = vector.points(own).drop("row").join(places.select("row", "point_id"), "point_id")
+    out, _ = materialize(analyze(metric, "row", made.get("roads"), made.get("streams"), made.get("candidates"), match_radius_m, cluster_radius_m), "qc-analysis")
+    return out.select("row", *[c for c in ANALYZED if c in out.columns]), summary(out, match_radius_m, cluster_radius_m)
+
+
+def write_outputs(analyzed: DataFrame, found: dict, folder: str) -> dict[str, str]:
+    """The analysis as GeoJSON, CSV, JSON and Markdown files."""
+    import json
+
+    from ..sources import vector
+    from .serving import quality_report
+
+    layer = vector.of_points(analyzed.drop("row"))
+    paths = {kind: f"{folder}/point_analysis.{kind}" for kind in ("geojson", "csv", "json", "md")}
+    vector.write_vector(layer, paths["geojson"])
+    analyzed.drop("row").write.mode("overwrite").csv(paths["csv"], header=True)
+    vector.write_file(paths["json"], iter([json.dumps(found, indent=2)]))
+    vector.write_file(paths["md"], iter([quality_report(found)]))
+    return paths
+
+
+def high_confidence(analyzed: DataFrame, accepted: tuple[str, ...] = TRAINING_FLAGS) -> tuple[DataFrame, dict]:
+    """(training points, counts); an analysis without its flags, and one of which no point passes, are errors."""
+    missing = [c for c in ("analysis_flag", "inside_analysis_extent") if c not in analyzed.columns]
+    if missing:
+        raise ValueError(f"the analysis lacks {', '.join(missing)}")
+    out = training_points(analyzed, accepted)
+    flags = {r["analysis_flag"]: r["count"] for r in analyzed.groupBy("analysis_flag").count().orderBy(F.desc("count"), "analysis_flag").collect()}
+    kept, n = out.count(), sum(flags.values())
+    if not kept:
+        raise ValueError("no point passes the high-confidence filter")
+    return out, {"rows": kept, "accepted_flags": list(accepted), "rejected_rows": n - kept, "analysis_flags": flags}
