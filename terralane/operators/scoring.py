@@ -165,13 +165,13 @@ def score_candidates(df: DataFrame, weights: dict[str, float] | None = None, tie
     out = component_scores(df)
     score = F.when(flag_is_one(df, "is_culvert") | flag_is_one(df, "field_denied"), 0.0).otherwise(weighted_score(out, weights or WEIGHTS))
     out = out.withColumn("culvert_likelihood_score", score)
-    n = out.count()
     out = global_rank(out, F.col("culvert_likelihood_score"), [F.col(tie_break)], "priority_rank")
+    out = out.crossJoin(F.broadcast(out.agg(F.count("*").alias("_all"))))  # one row, counted from the table that ranking wrote
     return out.withColumns(
         {
-            "priority_percentile": 1 - (F.col("priority_rank") - 1) / F.lit(max(n, 1)),
+            "priority_percentile": 1 - (F.col("priority_rank") - 1) / F.col("_all"),
             "priority_bucket": bucket(F.col("culvert_likelihood_score")),
             "evidence_summary": evidence_summary(out),
             "google_earth_url": search_url(df),
         }
-    )
+    ).drop("_all")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, segment_distance
-from ..storage import materialize
+from ..functions.ranking import global_rank
+from ..storage import materialize, remove, scratch
 from .graph import components
 
 
@@ -67,7 +68,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_order: str, l
     wide = max(max(ends[1], mine[1]) - min(ends[0], mine[0]), max(ends[3], mine[3]) - min(ends[2], mine[2]), 1e-6)
     limit = max_distance if max_distance is not None else 2 * wide
     radius = min(max(wide / math.sqrt(ends[4]), wide / 4096), limit)
-    rest, settled = left, []
+    rest, settled = left.select(left_id, "x", "y"), []  # rows are copied to nine cells, so they carry no more than that
     while True:
         pairs = points_near_segments(rest, right, radius) if lines else grid_join(rest, right, radius)
         best = pairs.groupBy(F.col(f"l_{left_id}").alias("_id")).agg(F.min_by(F.struct(*[f"r_{c}" for c in right.columns], "d"), F.struct("d", f"r_{right_order}")).alias("_b"))
@@ -93,29 +94,51 @@ def thin(df: DataFrame, row_id: str, order: list[str], spacing: float, group: st
     Rounds decide, at once, every row whose earlier neighbours and group mates leave no doubt; the first undecided row always
     is one, and the set is the walk's, whatever the order of rounds.
     """
-    key = F.struct(*order, row_id)
-    rows = df.select(F.col(row_id).alias("id"), key.alias("ord"), "x", "y", (F.col(group) if group else F.lit(None)).cast("string").alias("grp"))
-    state, _ = materialize(rows.withColumn("s", F.lit(0)), "thin")
-    near = grid_join(state.select("id", "ord", "x", "y"), state.select("id", "ord", "x", "y"), spacing) if spacing > 0 else None
-    pairs = None
-    if near is not None:
-        pairs, _ = materialize(near.where((F.col("d") < spacing) & (F.col("l_ord") < F.col("r_ord"))).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), "thin-pairs")
-    while not state.where("s = 0").isEmpty():
-        judged = state
-        if pairs is not None:
-            marks = pairs.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(F.max("sa").alias("taken"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
-            judged = judged.join(marks, "id", "left").na.fill({"taken": -1, "open": 0})
-        else:
-            judged = judged.withColumn("taken", F.lit(-1)).withColumn("open", F.lit(0))
-        if cap > 0:
-            w = Window.partitionBy("grp").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-            judged = judged.withColumn("full", F.coalesce(F.sum(F.when(F.col("s") == 1, 1).otherwise(0)).over(w), F.lit(0)) >= cap)
-            judged = judged.withColumn("may_fill", F.coalesce(F.sum(F.when(F.col("s") >= 0, 1).otherwise(0)).over(w), F.lit(0)) >= cap)
-        else:
-            judged = judged.withColumn("full", F.lit(False)).withColumn("may_fill", F.lit(False))
-        new = F.when(F.col("s") != 0, F.col("s")).when((F.col("taken") == 1) | F.col("full"), -1).when((F.col("open") == 0) & ~F.col("may_fill"), 1).otherwise(0)
-        state, _ = materialize(judged.select("id", "ord", "x", "y", "grp", new.alias("s")), "thin")
-    return df.join(state.where("s = 1").select(F.col("id").alias(row_id)), row_id, "left_semi")
+    spark = df.sparkSession
+    rows = df.select(F.col(row_id).alias("id"), F.struct(*order, row_id).alias("_key"), "x", "y", (F.col(group) if group else F.lit(None)).cast("string").alias("grp"))
+    with scratch(spark) as kept:
+        placed = global_rank(rows, F.lit(0.0), [F.col("_key")], "ord").drop("_key")
+        state, path = materialize(placed.withColumn("s", F.lit(0)), "thin")
+        pairs = None
+        if spacing > 0:
+            slim = state.select("id", "ord", "x", "y")
+            near = grid_join(slim, slim, spacing).where((F.col("d") < spacing) & (F.col("l_ord") < F.col("r_ord")))
+            pairs, _ = materialize(near.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), "thin-pairs")
+        while not state.where("s = 0").isEmpty():
+            judged = state
+            if pairs is not None:
+                marks = pairs.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(F.max("sa").alias("taken"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
+                judged = judged.join(marks, "id", "left").na.fill({"taken": -1, "open": 0})
+            else:
+                judged = judged.withColumns({"taken": F.lit(-1), "open": F.lit(0)})
+            judged = _room(judged, cap) if cap > 0 else judged.withColumns({"full": F.lit(False), "may_fill": F.lit(False)})
+            new = F.when(F.col("s") != 0, F.col("s")).when((F.col("taken") == 1) | F.col("full"), -1).when((F.col("open") == 0) & ~F.col("may_fill"), 1).otherwise(0)
+            # Rows that are not taken matter to none that is open, so they leave the table.
+            after, new_path = materialize(judged.select("id", "ord", "x", "y", "grp", new.alias("s")).where("s >= 0"), "thin")
+            remove(spark, path)
+            state, path = after, new_path
+        kept.add(path)
+    return df.join(state.select(F.col("id").alias(row_id)), row_id, "left_semi")
+
+
+#: Places in the walk that are counted together for the cap of a group.
+RUN = 100_000
+
+
+def _room(state: DataFrame, cap: int) -> DataFrame:
+    """Add full (``cap`` rows of the group are taken before) and may_fill (taken or open ones before make as many).
+
+    Counts by group and run of the walk are added up first, so a group of any size is never ordered in one task.
+    """
+    runs = state.withColumn("_run", F.floor((F.col("ord") - 1) / RUN))
+    taken, open_ = F.when(F.col("s") == 1, 1).otherwise(0), F.lit(1)  # rows that are not taken are gone
+    sums = runs.groupBy("grp", "_run").agg(F.sum(taken).alias("t"), F.sum(open_).alias("o"))
+    before = Window.partitionBy("grp").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # one row per run of a group
+    starts = sums.select(F.col("grp").alias("_g"), F.col("_run").alias("_r"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("_t"), F.coalesce(F.sum("o").over(before), F.lit(0)).alias("_o"))
+    within = Window.partitionBy("grp", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    here = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0))
+    counted = runs.withColumns({"_ht": here(taken), "_ho": here(open_)}).join(starts, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_run") == F.col("_r")))
+    return counted.withColumns({"full": F.col("_t") + F.col("_ht") >= cap, "may_fill": F.col("_o") + F.col("_ho") >= cap}).drop("_run", "_g", "_r", "_t", "_o", "_ht", "_ho")
 
 
 def clusters(points: DataFrame, row_id: str, radius: float) -> DataFrame:
@@ -126,7 +149,7 @@ def clusters(points: DataFrame, row_id: str, radius: float) -> DataFrame:
     slim = points.select(F.col(row_id).alias("id"), "x", "y")
     links = grid_join(slim, slim, radius).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     found = components(links)
-    numbers = found.select("component").distinct()
-    numbers = numbers.withColumn("cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))  # one row per cluster
+    numbers = global_rank(found.select("component").distinct(), -F.col("component").cast("double"), [F.col("component")], "_n")
+    numbers = numbers.select("component", (F.col("_n") - 1).cast("int").alias("cluster_id"))
     named = found.join(numbers, "component").select(F.col("node").alias(row_id), "cluster_id")
     return points.join(named, row_id, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))

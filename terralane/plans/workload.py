@@ -83,10 +83,7 @@ def priority_buckets(spark, d):
 
 @query(f"""WITH {_COMPONENTS} SELECT candidate_id, row_number() OVER (ORDER BY round(score, 9) DESC, candidate_id) AS rank FROM t""")
 def evidence_queue(spark, d):
-    s = _scored_sites(spark, d).withColumn("culvert_likelihood_score", F.round("culvert_likelihood_score", 9))
-    from ..functions.ranking import global_rank
-
-    return global_rank(s.drop("priority_rank"), F.col("culvert_likelihood_score"), [F.col("candidate_id")], "rank").select("candidate_id", "rank")
+    return _scored_sites(spark, d).select("candidate_id", F.col("priority_rank").cast("long").alias("rank"))
 
 
 @query("""SELECT c_custkey, round(greatest(0.0, least(1.0, (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif(CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) + CAST(c IS NOT NULL AS INT), 0))), 6) AS mean_score
@@ -188,6 +185,14 @@ def best_match_label(spark, d):
     return labels.label_known(s, known_table(spark, d), 250.0).select("candidate_id", "is_culvert")
 
 
+@query(f"""WITH {SITES}, {KNOWN}, n AS (SELECT s.row, arg_min(k.known_row, [round(sqrt((s.x-k.x)*(s.x-k.x)+(s.y-k.y)*(s.y-k.y)), 9), k.known_row]) AS known_row FROM sites s, known k GROUP BY 1)
+SELECT candidate_id, culvert_id AS nearest_id, 'R' || (n.known_row % 7) AS nearest_route, '' AS nearest_file FROM sites JOIN n ON sites.row = n.row JOIN known USING (known_row)""")
+def label_metadata(spark, d):
+    known = known_table(spark, d).withColumn("route", F.concat(F.lit("R"), (F.col("known_row") % 7).cast("string")))
+    out = labels.label_known(site_table(spark, d), known, 60.0)
+    return out.select("candidate_id", F.col("nearest_field_report_culvert_id").alias("nearest_id"), F.col("nearest_field_report_route").alias("nearest_route"), F.col("nearest_field_report_source_file").alias("nearest_file"))
+
+
 _NEGATIVES = "negatives AS (SELECT known_row AS negative_row, x, y, CASE WHEN known_row % 5 = 0 THEN printf('cand_%06d', known_row % 37) ELSE '' END AS cid, CASE WHEN known_row % 10 = 0 THEN CAST(known_row AS DOUBLE) END AS miss, CASE WHEN known_row % 3 = 0 THEN 'missed_prediction' ELSE 'no_culvert' END AS label, 'obs-' || known_row AS oid FROM known)"
 
 
@@ -238,11 +243,10 @@ def segment_crossings(spark, d):
 
 @query(f"WITH {_CROSS}, g AS (SELECT road, stream, abs((degrees(atan2(ry, rx)) + 360) % 180 - (degrees(atan2(sy, sx)) + 360) % 180) AS dif FROM hits) SELECT road, stream, round(least(dif % 180, 180 - dif % 180), 4) AS angle FROM g")
 def crossing_angle(spark, d):
-    a, b = (line_table(spark, d, i) for i in (0, 1))
-    pairs = cand.segment_pairs(a, b, 0.0)
-    sides = [tuple(F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")) for p in "ab"]
-    way = [direction(s[2] - s[0], s[3] - s[1]) for s in sides]
-    return pairs.where(crossing(*sides).isNotNull()).select(F.col("a_line").alias("road"), F.col("b_line").alias("stream"), F.round(fold_angle(*way), 4).alias("angle"))
+    roads, streams = (line_table(spark, d, i) for i in (0, 1))
+    met = cand.meetings(roads, streams, 0.0).where(F.col("source") == cand.EXACT).withColumn("n", F.struct("road_line", "stream_line"))
+    ways = [cand.local_direction(met, lines, "n", f"{side}_line").withColumnRenamed("angle", side) for lines, side in ((roads, "road"), (streams, "stream"))]
+    return ways[0].join(ways[1], "n").select(F.col("n.road_line").alias("road"), F.col("n.stream_line").alias("stream"), F.round(fold_angle(F.col("road"), F.col("stream")), 4).alias("angle"))
 
 
 @query()
@@ -252,15 +256,10 @@ def candidate_generation(spark, d):
     return out.select("candidate_id", "road_id", "stream_id", "source", r6("x", "x"), r6("y", "y"), r6("road_stream_distance_m", "d"), F.round("crossing_angle_degrees", 4).alias("angle"))
 
 
-@query(f"""WITH {LINES}, l AS (SELECT line, x1, y1, x2, y2, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS len FROM roads WHERE line % 10 = 0), n AS (SELECT *, greatest(CAST(ceil((len - 37.5)/75) AS BIGINT), 0) AS n FROM l WHERE len > 0),
-m AS (SELECT *, unnest(CASE WHEN n > 0 THEN list_transform(range(0, n), lambda i: i*75 + 37.5) ELSE [len/2] END) AS m FROM n), o AS (SELECT *, unnest([0.0, -8.0, 8.0]) AS off FROM m)
+@query(f"""WITH {LINES}, l AS (SELECT line, x1, y1, x2, y2, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) AS len FROM roads), n AS (SELECT *, greatest(CAST(ceil((len - 37.5)/75) AS BIGINT), 0) AS n FROM l WHERE len > 0),
+m AS (SELECT *, unnest(CASE WHEN n > 0 THEN list_transform(range(0, n), lambda i: i*75 + 37.5) ELSE [len/2] END) AS m FROM n), o AS (SELECT *, unnest(CAST([0.0, -8.0, 8.0] AS DOUBLE[])) AS off FROM m)
 SELECT line, round(m, 4) AS m, off, round(x1 + m/len*(x2-x1) - off * (CASE WHEN y2-y1 > 0 OR (y2 = y1 AND x2 < x1) THEN 1 ELSE CASE WHEN y2 = y1 THEN 1 ELSE -1 END END) * (y2-y1)/len, 3) AS x FROM o""")
 def route_sampling(spark, d):
-    return _samples(line_table(spark, d, 0).where("line % 10 = 0"))
-
-
-@query()
-def route_sampling_all(spark, d):
     return _samples(line_table(spark, d, 0))
 
 
@@ -307,18 +306,29 @@ def success_rate(spark, d):
     return out.select("actual_culverts", "hits_within_distance", r6("success_rate", "success_rate"), r6("mean_nearest_distance_m", "mean_nearest_distance_m"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SITES}, o AS (SELECT row, x, y, row_number() OVER (ORDER BY c_nationkey, row) AS k FROM sites),
+w(k, taken, xs, ys) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]) UNION ALL
+ SELECT k, CASE WHEN free THEN list_append(taken, row) ELSE taken END, CASE WHEN free THEN list_append(xs, x) ELSE xs END, CASE WHEN free THEN list_append(ys, y) ELSE ys END
+ FROM (SELECT o.k, o.row, o.x, o.y, w.taken, w.xs, w.ys, len(list_filter(list_zip(w.xs, w.ys), lambda p: sqrt((p[1]-o.x)*(p[1]-o.x)+(p[2]-o.y)*(p[2]-o.y)) < 120)) = 0 AS free FROM w JOIN o ON o.k = w.k + 1))
+SELECT row, candidate_id, x, y FROM sites WHERE row IN (SELECT unnest(taken) FROM w WHERE k = (SELECT max(k) FROM o))""")
 def greedy_thin(spark, d):
     return thin(site_table(spark, d), "row", ["c_nationkey"], 120.0).select("row", "candidate_id", "x", "y")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SITES}, o AS (SELECT row, x, y, 'NY-' || (row % 40) AS road, row_number() OVER (ORDER BY c_nationkey, row) AS k FROM sites),
+w(k, taken, xs, ys, roads) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]), CAST([] AS VARCHAR[]) UNION ALL
+ SELECT k, CASE WHEN free THEN list_append(taken, row) ELSE taken END, CASE WHEN free THEN list_append(xs, x) ELSE xs END, CASE WHEN free THEN list_append(ys, y) ELSE ys END, CASE WHEN free THEN list_append(roads, road) ELSE roads END
+ FROM (SELECT o.k, o.row, o.x, o.y, o.road, w.taken, w.xs, w.ys, w.roads, len(list_filter(w.roads, lambda r: r = o.road)) < 250 AND len(list_filter(list_zip(w.xs, w.ys), lambda p: sqrt((p[1]-o.x)*(p[1]-o.x)+(p[2]-o.y)*(p[2]-o.y)) < 100)) = 0 AS free FROM w JOIN o ON o.k = w.k + 1)),
+t AS (SELECT unnest(taken) AS row FROM w WHERE k = (SELECT max(k) FROM o))
+SELECT row, candidate_id, 'NY-' || (row % 40) AS road_name FROM sites JOIN t USING (row) ORDER BY c_nationkey, row LIMIT 2000""")
 def declutter_fold(spark, d):
     s = site_table(spark, d).join(feature_table(spark, d).select("row", "road_name"), "row")
     return export.declutter(s, ["c_nationkey"], limit=2000, spacing=100.0, row="row").select("row", "candidate_id", "road_name")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SITES}, e AS (SELECT a.row AS a, b.row AS b FROM sites a, sites b WHERE a.row != b.row AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 120),
+r AS (SELECT a AS row, a AS reach FROM e UNION SELECT r.row, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT row, min(reach) AS root FROM r GROUP BY 1)
+SELECT sites.row, candidate_id, CASE WHEN root IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY root NULLS LAST) - 1 AS INT) END AS cluster_id FROM sites LEFT JOIN c ON sites.row = c.row""")
 def cluster_points(spark, d):
     return clusters(site_table(spark, d), "row", 120.0).select("row", "candidate_id", "cluster_id")
 
@@ -347,23 +357,19 @@ def export_summary(spark, d):
     return s.select("rows", "known_field_matches", r6("max_score", "max_score"), r6("mean_score", "mean_score"), F.col("priority_buckets")["low"].alias("low"), F.col("priority_buckets")["very_high"].alias("very_high"), r6("min_longitude", "min_longitude"), r6("max_latitude", "max_latitude"))
 
 
-@query(f"""WITH {FEATURES} SELECT candidate_id FROM features WHERE NOT is_culvert AND row*37%10001 >= 4000 AND (contains(lower(road_name), 'ny-1') OR row % 40 = 22)""")
+@query(f"""WITH {FEATURES}, b AS (SELECT *, CAST(row*37%10001 AS DOUBLE)/100 AS s FROM features), c AS (SELECT *, CASE WHEN s <= 35 THEN 'low' WHEN s <= 55 THEN 'medium' WHEN s <= 75 THEN 'high' ELSE 'very_high' END AS bk FROM b)
+SELECT candidate_id FROM c WHERE NOT is_culvert AND s >= 40 AND bk IN ('high', 'very_high') AND (contains('route ' || (row % 40), 'route 1') OR row % 40 = 1)""")
 def ui_filter_search(spark, d):
-    f = feature_table(spark, d).withColumn("score", F.col("row") * 37 % 10001)
-    hit = F.contains(F.lower("road_name"), F.lit("ny-1")) | F.arrays_overlap(route_tokens(F.col("road_name")), route_tokens(F.lit("Route 22")))
-    return f.where((F.col("is_culvert") == 0) & (F.col("score") >= 4000) & hit).select("candidate_id")
+    f = feature_table(spark, d).withColumn("discovery_score", (F.col("row") * 37 % 10001).cast("double") / 100)
+    shown = serving.normalized(f.withColumn("priority_bucket", bucket(F.col("discovery_score"))).select("candidate_id", "discovery_score", "priority_bucket", "is_culvert", "road_name"))
+    return serving.filtered(shown, "NY 1", 40.0, ("high", "very_high")).select("candidate_id")
 
 
-@query(f"""WITH {FEATURES}, a AS (SELECT candidate_id, 1 AS v FROM features WHERE row % 2 = 0), b AS (SELECT candidate_id, 2 AS v FROM features WHERE row % 3 = 0) SELECT candidate_id, max(v) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+@query(f"""WITH {FEATURES}, a AS (SELECT candidate_id, 1 AS v FROM features), b AS (SELECT candidate_id, 2 AS v FROM features WHERE is_culvert OR denied) SELECT candidate_id, max(v) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def union_by_id(spark, d):
     f = feature_table(spark, d)
-    return serving.union_by_id(f.where("row % 2 = 0").select("candidate_id", F.lit(1).alias("v")), f.where("row % 3 = 0").select("candidate_id", F.lit(2).alias("v")))
-
-
-@query()
-def union_by_id_all(spark, d):
-    f = feature_table(spark, d)
-    return serving.union_by_id(f.select("candidate_id", F.lit(1).alias("v")), f.where("row % 3 = 0").select("candidate_id", F.lit(2).alias("v")))
+    told = f.where("is_culvert = 1 OR field_denied = 1")  # what crews said stands over the base layer
+    return serving.union_by_id(f.select("candidate_id", F.lit(1).alias("v")), told.select("candidate_id", F.lit(2).alias("v")))
 
 
 @query(f"""WITH {FEATURES}, m AS (SELECT candidate_id, row, 2*6371008.8*atan2(sqrt(a), sqrt(1-a)) AS d FROM (SELECT candidate_id, row, power(sin(radians(latitude-41.9)/2),2)+cos(radians(41.9))*cos(radians(latitude))*power(sin(radians(longitude+74.0)/2),2) AS a FROM features))
@@ -525,36 +531,91 @@ def feedback_rerank(spark, d):
     return feedback.apply(base, obs).select("candidate_id", r6("discovery_score", "discovery_score"), "discovery_rank")
 
 
-@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (before IS NULL OR epoch(ts) - epoch(before) >= 900) AS runs FROM e GROUP BY 1""")
+@query(f"""WITH {FEATURES}, s AS (SELECT *, CAST(row*37%10001 AS DOUBLE)/100 AS score FROM features),
+-- Confirmed sites: of rows 5 of 31 far from the row they name as missed, of 6 of 31 at the row itself, without its name, of 7 of 31 far from all.
+a AS (SELECT candidate_id, row, row % 31 = 5 AS missed, row % 31 = 6 AS near FROM s),
+b AS (SELECT s.candidate_id, CASE WHEN near THEN greatest(score, 98.0) WHEN missed THEN least(score, 15.0) ELSE score END AS score, CASE WHEN near THEN 1 ELSE 0 END AS known, CASE WHEN near THEN 'confirmed_field_observation' WHEN missed THEN 'field_missed_prediction' ELSE 'undiscovered_candidate' END AS status, s.row AS rank
+ FROM s JOIN a USING (candidate_id)
+ UNION ALL SELECT 'new' || row, 100.0, 1, 'confirmed_field_observation', 0 FROM s WHERE row % 31 = 7 UNION ALL SELECT 'o' || row, 100.0, 1, 'confirmed_field_observation', 0 FROM s WHERE row % 31 = 5)
+SELECT candidate_id, round(score, 6) AS discovery_score, status AS discovery_status, row_number() OVER (ORDER BY known, score DESC, rank, candidate_id) AS discovery_rank FROM b""")
+def feedback_missed_and_new(spark, d):
+    # Places apart from each other: a feature per cell of 0.01 degrees in an order of its own.
+    place = {"longitude": F.lit(-74.0) + F.col("row") % 1000 / 100.0, "latitude": F.lit(30.0) + F.floor(F.col("row") / 1000) / 100.0}
+    f = feature_table(spark, d).withColumns(place)
+    base = f.select("candidate_id", F.col("row").alias("rank"), (F.col("row") * 37 % 10001 / F.lit(100.0)).alias("discovery_score"), F.lit("undiscovered_candidate").alias("discovery_status"), F.lit(0).alias("is_known_field_match"), F.lit("").alias("evidence_summary"), "longitude", "latitude")
+    k = F.col("row") % 31
+    name = F.concat(F.lit("o"), F.col("row").cast("string"))
+    obs = f.where(k.isin(5, 6, 7)).select(
+        name.alias("observation_id"), F.lit("2024-01-01").alias("observed_at"), F.lit("confirmed_culvert").alias("status"), F.lit("").alias("candidate_id"), F.when(k == 7, F.concat(F.lit("new"), F.col("row").cast("string"))).otherwise("").alias("field_culvert_id"),
+        F.when(k == 5, F.col("candidate_id")).otherwise("").alias("missed_candidate_id"), F.lit("").alias("nearest_candidate_id"), F.when(k == 5, 40.0).alias("missed_candidate_distance_m"), F.lit(None).cast("double").alias("nearest_candidate_distance_m"),
+        "longitude", (F.col("latitude") + F.when(k == 6, 0.00003).otherwise(0.004)).alias("latitude"),
+    )
+    return feedback.apply(base, obs).select("candidate_id", r6("discovery_score", "discovery_score"), "discovery_status", "discovery_rank")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, CAST(event_id % 3 AS VARCHAR) AS fp, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id % 3 AS VARCHAR)) AS k FROM events),
+r AS (SELECT user_id, k, t AS asked, fp AS held, 'queued' AS status FROM e WHERE k = 1 UNION ALL
+ SELECT e.user_id, e.k, CASE WHEN e.fp != r.held AND e.t - r.asked >= 900000000 THEN e.t ELSE r.asked END, CASE WHEN e.fp != r.held AND e.t - r.asked >= 900000000 THEN e.fp ELSE r.held END,
+ CASE WHEN e.fp = r.held THEN 'unchanged' WHEN e.t - r.asked < 900000000 THEN 'debounced' ELSE 'queued' END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT CAST(user_id AS VARCHAR) AS region, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'debounced') AS debounced FROM r GROUP BY 1""")
 def quiet_period_runs(spark, d):
-    from pyspark.sql import Window
+    from ..streaming.feedback import retrain_log
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    return table(spark, d, "events").withColumn("gap", gap).groupBy("user_id").agg(F.count_if(F.col("gap").isNull() | (F.col("gap") >= 900_000_000)).alias("runs"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("region"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3).cast("string").alias("fingerprint"))
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return retrain_log(e).groupBy("region").agg(count("queued"), count("unchanged"), count("debounced"))
 
 
 # --- Rasters ------------------------------------------------------------------------------------------------------------
 
 
-def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, raster.Grid]:
-    """A 100 x 100 raster of 100 m cells over the sites, with a missing diagonal."""
+def _cells(spark: SparkSession, d: str, hole: int = 211) -> tuple[DataFrame, raster.Grid]:
+    """A 100 x 100 raster of 100 m cells over the sites, with every ``hole``-th cell of a slanted count missing."""
     cells = spark.range(10_000).select((F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"))
-    v = F.when((F.col("row") * 7 + F.col("col")) % 211 != 0, (F.col("row") * F.col("row") * 3 + F.col("col") * 17) % 101).cast("double")
+    v = F.when((F.col("row") * 7 + F.col("col")) % hole != 0, (F.col("row") * F.col("row") * 3 + F.col("col") * 17) % 101).cast("double")
     return cells.withColumn("v", v), raster.Grid(0.0, 10010.0, 100.1, 100.1, 100, 100)
 
 
-_RASTER = f"""{SITES}, cells AS (SELECT r.range AS row, c.range AS col, CASE WHEN (r.range*7 + c.range) % 211 != 0 THEN CAST((r.range*r.range*3 + c.range*17) % 101 AS DOUBLE) END AS v FROM range(100) r, range(100) c),
-spots AS (SELECT candidate_id, CAST(floor((10010.0 - y)/100.1) AS INT) AS r, CAST(floor(x/100.1) AS INT) AS c FROM sites),
-w AS (SELECT candidate_id, count(v) AS n, avg(v) AS m, max(v) - min(v) AS relief, stddev_pop(v) AS s, max(v) FILTER (row = r AND col = c) AS mid FROM spots LEFT JOIN cells ON row BETWEEN r-1 AND r+1 AND col BETWEEN c-1 AND c+1 GROUP BY 1)"""
+def _raster_sql(hole: int) -> str:
+    return f"""{SITES}, cells AS (SELECT r.range AS row, c.range AS col, CASE WHEN (r.range*7 + c.range) % {hole} != 0 THEN CAST((r.range*r.range*3 + c.range*17) % 101 AS DOUBLE) END AS v FROM range(100) r, range(100) c),
+spots AS (SELECT candidate_id, row AS site, CAST(floor((10010.0 - y)/100.1) AS INT) AS r, CAST(floor(x/100.1) AS INT) AS c FROM sites)"""
+
+
+def _window_sql(n: int) -> str:
+    """w<n>: the statistics of each site's window of n x n cells, null unless it is whole."""
+    h = n // 2
+    return f"""w{n} AS (SELECT site, CASE WHEN n = {n * n} THEN m END AS mean, CASE WHEN n = {n * n} THEN relief END AS relief, CASE WHEN n = {n * n} THEN s END AS rough, CASE WHEN n = {n * n} THEN mid - m END AS tpi, CASE WHEN n = {n * n} THEN greatest(0.0, m - mid) END AS valley,
+ CASE WHEN n = {n * n} THEN degrees(atan(sqrt(power((down - up) / 200.2, 2) + power((rite - lft) / 200.2, 2)))) END AS slope FROM (SELECT site, count(v) AS n, avg(v) AS m, max(v) - min(v) AS relief, stddev_pop(v) AS s, max(v) FILTER (row = r AND col = c) AS mid,
+ max(v) FILTER (row = r + 1 AND col = c) AS down, max(v) FILTER (row = r - 1 AND col = c) AS up, max(v) FILTER (row = r AND col = c + 1) AS rite, max(v) FILTER (row = r AND col = c - 1) AS lft
+ FROM spots LEFT JOIN cells ON row BETWEEN r-{h} AND r+{h} AND col BETWEEN c-{h} AND c+{h} GROUP BY 1))"""
 
 
-@query(f"WITH {_RASTER} SELECT candidate_id, round(CASE WHEN n = 9 THEN m END, 6) AS mean, round(CASE WHEN n = 9 THEN relief END, 6) AS relief, round(CASE WHEN n = 9 THEN s END, 6) AS roughness, round(CASE WHEN n = 9 THEN mid - m END, 6) AS tpi FROM w")
+_RASTER, _WHOLE = _raster_sql(211), _raster_sql(5003)
+_STATS = ("mean", "relief", "rough", "tpi", "valley")
+
+
+@query(f"WITH {_RASTER}, {_window_sql(3)} SELECT candidate_id, round(mean, 6) AS mean, round(relief, 6) AS relief, round(rough, 6) AS roughness, round(tpi, 6) AS tpi, round(valley, 6) AS valley, round(slope, 6) AS slope FROM spots JOIN w3 USING (site)")
 def raster_window_stats(spark, d):
     cells, grid = _cells(spark, d)
     out = raster.window_stats(site_table(spark, d), cells, grid, "row")
-    return out.select("candidate_id", r6("elevation_mean_3x3_m", "mean"), r6("elevation_relief_3x3_m", "relief"), r6("terrain_roughness_3x3_m", "roughness"), r6("topographic_position_3x3_m", "tpi"))
+    return out.select("candidate_id", r6("elevation_mean_3x3_m", "mean"), r6("elevation_relief_3x3_m", "relief"), r6("terrain_roughness_3x3_m", "roughness"), r6("topographic_position_3x3_m", "tpi"), r6("valley_depth_3x3_m", "valley"), r6("slope_degrees", "slope"))
+
+
+@query(f"""WITH {_WHOLE}, {", ".join(map(_window_sql, (9, 15, 31)))} SELECT candidate_id, {", ".join(f"round(w{n}.{c}, 6) AS {c}{n}" for n in (9, 15, 31) for c in _STATS)} FROM spots JOIN w9 USING (site) JOIN w15 USING (site) JOIN w31 USING (site)""")
+def raster_wide_windows(spark, d):
+    cells, grid = _cells(spark, d, 5003)
+    out = raster.window_stats(site_table(spark, d), cells, grid, "row")
+    return out.select("candidate_id", *[r6(f"{kind}_{n}x{n}_m", f"{c}{n}") for n in (9, 15, 31) for c, kind in zip(_STATS, ("elevation_mean", "elevation_relief", "terrain_roughness", "topographic_position", "valley_depth"), strict=True)])
+
+
+@query(f"""WITH {_WHOLE}, {_window_sql(3)}, {_window_sql(9)}, t AS (SELECT candidate_id, w3.slope, w9.* FROM spots JOIN w3 USING (site) JOIN w9 USING (site)),
+q AS (SELECT quantile_cont(valley, 0.05) AS a, quantile_cont(valley, 0.95) AS b FROM t)
+SELECT candidate_id, round(CASE WHEN relief > 0 THEN valley / relief END, 6) AS ratio, round(ln(1 + valley) / (1 + slope), 6) AS wetness, round(coalesce(least(greatest((valley - a) / (b - a), 0.0), 1.0), 0.0) / (1 + slope), 6) AS low_slope,
+round(ln(1 + relief) * ln(1 + rough), 6) AS terrain_break, round(CASE WHEN tpi IS NOT NULL THEN greatest(-tpi, 0.0) END, 6) AS negative_tpi FROM t, q""")
+def hydrology_proxies(spark, d):
+    cells, grid = _cells(spark, d, 5003)
+    out = feat.hydrology_proxies(raster.window_stats(site_table(spark, d), cells, grid, "row", (3, 9)))
+    return out.select("candidate_id", r6("valley_depth_relief_ratio_9x9", "ratio"), r6("topographic_wetness_proxy_9x9", "wetness"), r6("low_slope_valley_score_9x9", "low_slope"), r6("terrain_break_score_proxy_9x9", "terrain_break"), r6("negative_tpi_9x9_m", "negative_tpi"))
 
 
 @query(f"WITH {_RASTER} SELECT candidate_id, v AS elevation_m FROM spots LEFT JOIN cells ON row = r AND col = c")

@@ -166,6 +166,27 @@ def trigger(state: dict | None, fingerprint: str, now: float, dispatch: Callable
     return {"requested_at": now, "fingerprint": fingerprint, "status": status}, Decision(status)
 
 
+DECISIONS = "region string, at timestamp, fingerprint string, status string"
+
+
+def _decided(region: str, held: dict | None, rows: pd.DataFrame, min_interval: float) -> tuple[dict | None, pd.DataFrame]:
+    out = []
+    for at, fingerprint in zip(rows["at"], rows["fingerprint"], strict=True):
+        held, made = trigger(held, fingerprint, at.timestamp(), lambda _: True, min_interval=min_interval)
+        out.append((region, at, fingerprint, made.status))
+    return held, pd.DataFrame(out, columns=["region", "at", "fingerprint", "status"])
+
+
+def retrain_log(changes: DataFrame, min_interval: float = MIN_INTERVAL_SECONDS) -> DataFrame:
+    """What would have been decided about each change of a log (region, at, fingerprint), in order of time and fingerprint."""
+
+    def step(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["at", "fingerprint"], kind="stable")
+        return _decided(group["region"].iloc[0], None, group, min_interval)[1]
+
+    return changes.select("region", "at", "fingerprint").groupBy("region").applyInPandas(step, DECISIONS)  # one region's changes
+
+
 def retrain_requests(changes: DataFrame, min_interval: float = MIN_INTERVAL_SECONDS) -> DataFrame:
     """A stream of (region, at, fingerprint) to one of decisions, a debounce state for each region.
 
@@ -174,16 +195,11 @@ def retrain_requests(changes: DataFrame, min_interval: float = MIN_INTERVAL_SECO
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "fingerprint"])
-        out = []
-        for at, fingerprint in zip(rows["at"], rows["fingerprint"], strict=True):
-            now = at.timestamp()
-            held, made = trigger(held, fingerprint, now, lambda _: True, min_interval=min_interval)
-            out.append((key[0], at, fingerprint, made.status))
+        held, out = _decided(key[0], held, pd.concat(list(batches)).sort_values(["at", "fingerprint"], kind="stable"), min_interval)
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["region", "at", "fingerprint", "status"])
+        yield out
 
-    return changes.groupBy("region").applyInPandasWithState(step, "region string, at timestamp, fingerprint string, status string", "state string", "append", "NoTimeout")
+    return changes.groupBy("region").applyInPandasWithState(step, DECISIONS, "state string", "append", "NoTimeout")
 
 
 # The least move, and the least time between two lists, of a display that follows a device.

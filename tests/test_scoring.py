@@ -113,3 +113,20 @@ def test_precision_floor(spark):
     got = metrics.precision_floor(df, floor=0.6).first()
     assert (got["threshold"], got["predicted_positive_count"]) == (0.65, 5)
     assert metrics.precision_floor(df.where("target = 0")).count() == 0
+
+
+def test_percentiles_beyond_what_is_sent(spark, monkeypatch):
+    """Few values, many values, and many with hot ones give the same ranks."""
+    from terralane.functions import ranking
+
+    rows = [(i, float(i % 3) if i % 5 else None, float(i * 7 % 101), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double").repartition(3)
+    columns = {"ra": F.col("a"), "rb": F.col("b"), "rc": F.col("c")}
+    want = sorted(map(tuple, ranking.pct_ranks(df, columns).collect()), key=str)
+    for sent, hot in ((0, 100_000), (0, 50)):
+        monkeypatch.setattr(ranking, "SENT_VALUES", sent)
+        monkeypatch.setattr(ranking, "HOT_ROWS", hot)
+        assert sorted(map(tuple, ranking.pct_ranks(df, columns).collect()), key=str) == want
+    a = sorted(r[1] for r in rows if r[1] is not None)
+    by = {v: (sum(x < v for x in a) + (sum(x == v for x in a) + 1) / 2) / len(a) for v in set(a)}
+    assert all(r[4] == (None if r[1] is None else pytest.approx(by[r[1]])) and r[6] is None for r in want)

@@ -197,3 +197,22 @@ def test_demo_area(spark):
     got = demo.queue(spark).collect()
     assert len(got) >= 10 and sorted(r["priority_rank"] for r in got) == list(range(1, len(got) + 1))
     assert any(r["is_culvert"] for r in got) and all(r["elevation_m"] is not None for r in got)
+
+
+def test_a_group_of_any_size_is_counted_by_runs(spark, monkeypatch):
+    """The cap of a road that most rows share, with runs of a few places, equals the walk."""
+    from terralane.operators import spatial
+
+    monkeypatch.setattr(spatial, "RUN", 7)
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(20), rng.uniform(0, 400), rng.uniform(0, 400), rng.choice(["r", "r", "r", "s", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k int, x double, y double, road string")
+    for cap, spacing in ((5, 0.0), (12, 40.0), (0, 40.0)):
+        taken = []
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            if cap and sum(t[4] == r[4] for t in taken) >= cap:
+                continue
+            if any(math.hypot(t[2] - r[2], t[3] - r[3]) < spacing for t in taken):
+                continue
+            taken.append(r)
+        assert {r["id"] for r in spatial.thin(df, "id", ["k"], spacing, "road", cap).collect()} == {t[0] for t in taken}
