@@ -23,14 +23,14 @@ def test_every_road_is_sampled(spark):
         for m in [i * 75 + 37.5 for i in range(n)] or [size / 2]:
             for off in (0.0, -8.0, 8.0):
                 want[r["line"], round(m, 3), off] = r["x1"] + m / size * dx - off * (1 if dy >= 0 else -1) * dy / size
-    got = {(r["line"], round(r["m"], 3), r["off"]): r["x"] for r in entry.queries()["route_sampling_all"](spark, SMALL).collect()}
+    got = {(r["line"], round(r["m"], 3), r["off"]): r["x"] for r in entry.queries()["route_sampling"](spark, SMALL).collect()}
     assert len({line for line, _, _ in want}) > 50 and set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 2e-3 for k in want)
 
 
 def test_union_has_every_site(spark):
-    want = {(r["candidate_id"], 2 if r["row"] % 3 == 0 else 1) for r in inputs.features(spark, SMALL).collect()}
-    got = [(r["candidate_id"], r["v"]) for r in entry.queries()["union_by_id_all"](spark, SMALL).collect()]
+    want = {(r["candidate_id"], 2 if r["is_culvert"] or r["field_denied"] else 1) for r in inputs.features(spark, SMALL).collect()}
+    got = [(r["candidate_id"], r["v"]) for r in entry.queries()["union_by_id"](spark, SMALL).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
