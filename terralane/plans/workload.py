@@ -249,7 +249,31 @@ def crossing_angle(spark, d):
     return ways[0].join(ways[1], "n").select(F.col("n.road_line").alias("road"), F.col("n.stream_line").alias("stream"), F.round(fold_angle(F.col("road"), F.col("stream")), 4).alias("angle"))
 
 
-@query()
+def _end_sql(px: str, py: str, x1: str, y1: str, x2: str, y2: str) -> tuple[str, str, str]:
+    """Distance of a point to a segment, and the place on it."""
+    t = f"greatest(0.0, least(1.0, (({px}-{x1})*({x2}-{x1})+({py}-{y1})*({y2}-{y1})) / nullif(({x2}-{x1})*({x2}-{x1})+({y2}-{y1})*({y2}-{y1}), 0)))"
+    x, y = f"({x1}+coalesce({t}, 0)*({x2}-{x1}))", f"({y1}+coalesce({t}, 0)*({y2}-{y1}))"
+    return f"sqrt(power({px}-{x}, 2)+power({py}-{y}, 2))", x, y
+
+
+def _approach_sql() -> str:
+    """The least of four distances between ends and segments, as [distance, which, x, y] on the road."""
+    road, stream = tuple(f"r.{c}" for c in ("x1", "y1", "x2", "y2")), tuple(f"s.{c}" for c in ("x1", "y1", "x2", "y2"))
+    ends = [(_end_sql(*road[:2], *stream)[0], *road[:2]), (_end_sql(*road[2:], *stream)[0], *road[2:]), _end_sql(*stream[:2], *road), _end_sql(*stream[2:], *road)]
+    return "list_sort([" + ", ".join(f"[{d}, {i}, {x}, {y}]" for i, (d, x, y) in enumerate(ends)) + "])[1]"
+
+
+@query(f"""WITH RECURSIVE {_CROSS}, crossed AS (SELECT road, stream, round(x1 + t*rx, 6) AS x, round(y1 + t*ry, 6) AS y, CAST(0 AS DOUBLE) AS d, 'exact_road_stream_intersection' AS source FROM hits),
+close_ AS (SELECT r.line AS road, s.line AS stream, {_approach_sql()} AS a FROM roads r, streams s WHERE least(r.x1, r.x2) - 20 <= greatest(s.x1, s.x2) AND least(s.x1, s.x2) <= greatest(r.x1, r.x2) + 20
+ AND least(r.y1, r.y2) - 20 <= greatest(s.y1, s.y2) AND least(s.y1, s.y2) <= greatest(r.y1, r.y2) + 20 AND (r.line, s.line) NOT IN (SELECT (road, stream) FROM crossed)),
+met AS (SELECT * FROM crossed UNION ALL SELECT road, stream, a[3], a[4], a[1], 'nearest_road_stream_approach' FROM close_ WHERE a[1] <= 20),
+numbered AS (SELECT *, row_number() OVER (ORDER BY road, stream, x, y) AS n FROM met), o AS (SELECT *, row_number() OVER (ORDER BY d, n) AS k FROM numbered),
+w(k, taken, xs, ys) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]) UNION ALL
+ SELECT k, CASE WHEN free THEN list_append(taken, n) ELSE taken END, CASE WHEN free THEN list_append(xs, x) ELSE xs END, CASE WHEN free THEN list_append(ys, y) ELSE ys END
+ FROM (SELECT o.k, o.n, o.x, o.y, w.taken, w.xs, w.ys, len(list_filter(list_zip(w.xs, w.ys), lambda p: sqrt((p[1]-o.x)*(p[1]-o.x)+(p[2]-o.y)*(p[2]-o.y)) < 25)) = 0 AS free FROM w JOIN o ON o.k = w.k + 1)),
+kept AS (SELECT unnest(taken) AS n FROM w WHERE k = (SELECT max(k) FROM o)),
+g AS (SELECT m.*, abs((degrees(atan2(r.y2-r.y1, r.x2-r.x1)) + 360) % 180 - (degrees(atan2(s.y2-s.y1, s.x2-s.x1)) + 360) % 180) AS dif FROM numbered m JOIN kept USING (n) JOIN roads r ON r.line = m.road JOIN streams s ON s.line = m.stream)
+SELECT printf('cand_%06d', n) AS candidate_id, CAST(road AS VARCHAR) AS road_id, CAST(stream AS VARCHAR) AS stream_id, source, round(x, 6) AS x, round(y, 6) AS y, round(d, 6) AS d, round(least(dif % 180, 180 - dif % 180), 4) AS angle FROM g""")
 def candidate_generation(spark, d):
     roads, streams = (line_table(spark, d, i) for i in (0, 1))
     out = cand.generate(roads, streams, cand.road_attributes(roads), cand.stream_attributes(streams))
