@@ -228,11 +228,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "size_a", "size_b", "registers_a", "registers_b").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose whole shingle sets have 100 * intersection >= percent * union.
 
-    Only texts of classes in ``pairs`` are read: those of the class's smallest document.  Should that id be repeated with other
-    texts, a text counts only if its set is the class's.
+    Texts are those of :func:`class_texts`.  Should a class's smallest id be repeated with other texts, a text counts only if
+    its set is the class's.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +252,6 @@ def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, k: int, percen
                     good.append(same and set_digest(x) == wanted[0][i] and set_digest(y) == wanted[1][i])
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = class_texts(df, classes.select("cls", "rep", "d1").join(needed, "cls", "left_semi"))
     side = lambda s: texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}"), F.col("d1").alias(f"d_{s}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b", "d_a", "d_b").mapInArrow(keep, "a long, b long").distinct()
 
@@ -264,7 +262,7 @@ def class_texts(df: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.groupBy("cls", "d1", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
 
 
-def short_sets(df: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def short_sets(texts: DataFrame, k: int) -> DataFrame:
     """(cls, shingles): each class's sorted shingle hashes, cut to 32 bits."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +273,7 @@ def short_sets(df: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                 cut = [np.unique((shingle[bounds[i] : bounds[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([first + i for i in rows], pa.int64())), pa.array(cut, pa.binary())], ["cls", "shingles"])
 
-    return class_texts(df, classes).select("cls", "d1", "text").mapInArrow(make, "cls long, shingles binary").dropDuplicates(["cls"])
+    return texts.select("cls", "d1", "text").mapInArrow(make, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
 def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +349,10 @@ def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) ->
         members, members_path = materialize(banded.join(shared, "band"), "members")
         remove(spark, banded_path)
         tested, _ = materialize(estimated(stars(members), classes, percent / 100 * SLACK), "pairs")
-        links, _ = materialize(verified(tested, classes, df, k, percent), "links")
+        # Texts are dealt by id once, those of classes with a band in common; what follows reads these.
+        shared = members.select("cls").distinct()
+        texts, _ = materialize(class_texts(df, classes.select("cls", "rep", "d1").join(shared, "cls", "left_semi")), "class-texts")
+        links, _ = materialize(verified(tested, texts, k, percent), "links")
         found, path = materialize(components(links), "components")
         # Groups that still span components: their members outside the main one, against all others.
         several = members.join(found, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("component"))
@@ -359,12 +360,12 @@ def class_components(df: DataFrame, classes: DataFrame, k: int, percent: int) ->
         groups, _ = materialize(several.join(spans, "band", "left_semi"), "spanning")
         remove(spark, members_path)
         if not groups.isEmpty():
-            inside = classes.select("cls", "rep", "d1").join(groups.select("cls").distinct(), "cls", "left_semi")
-            sets, sets_path = materialize(short_sets(df, inside, k), "sets")
+            inside = texts.join(groups.select("cls").distinct(), "cls", "left_semi")
+            sets, sets_path = materialize(short_sets(inside, k), "sets")
             pairs, _ = materialize(across(groups, classes, sets, percent), "cross-pairs")
             remove(spark, sets_path)
             if not pairs.isEmpty():
-                more, _ = materialize(verified(pairs, classes, df, k, percent), "cross-links")
+                more, _ = materialize(verified(pairs, texts, k, percent), "cross-links")
                 found, path = materialize(components(links.unionByName(more)), "components")
         kept.add(path)
     return found
