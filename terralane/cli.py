@@ -181,6 +181,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         p.add_argument("--set", dest="given", nargs="*", default=[])
     p = verbs.add_parser("demo", help="the made-up study area's queue")
     p.add_argument("--out", required=True)
+    p.add_argument("--files", default="", help="a folder for its layers and terrain as well")
     p = verbs.add_parser("region-boundary", help="a region's bounds as a layer")
     p.add_argument("--out", required=True)
     p.add_argument("--region", default="ulster_poughkeepsie")
@@ -226,6 +227,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
 
         return {"verb": a.verb, "out": a.out, "rows": pull_observations(a.out, a.source)}
     if a.verb == "demo":
+        if a.files:
+            print(json.dumps(demo.write_files(spark, a.files)))
         out = demo.queue(spark)
     else:
         f = VERBS[a.verb][0]

@@ -39,6 +39,30 @@ def terrain(spark: SparkSession) -> tuple[DataFrame, Grid]:
     return cells.withColumn("v", v), Grid(WEST, NORTH, CELL, CELL, SIZE, SIZE)
 
 
+def write_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The area as files: roads, streams, known sites where streams of higher order pass, and the terrain."""
+    from ..functions.geometry import utm_zone
+    from ..operators import candidates as cand
+    from . import geotiff, vector
+
+    zone = spark.range(1).select(utm_zone(F.lit(-74.0))).first()[0]
+    epsg = vector.UTM_BASES[0] + zone
+
+    def layer(df: DataFrame, order: str) -> DataFrame:
+        return df.select(F.col("line").alias("row"), F.lit("LineString").alias("geometry_type"), F.array("points").cast(vector.PARTS).alias("parts"), F.lit(epsg).alias("epsg"), "name", F.col("rank").alias(order))
+
+    r, s = roads(spark), streams(spark)
+    met = cand.meetings(segments(r, "line"), segments(s, "line"), 30.0).join(s.select(F.col("line").alias("stream_line"), "rank"), "stream_line").where("rank >= 3")
+    known = met.select((F.col("x") + 4).alias("x"), (F.col("y") - 3).alias("y"), F.format_string("K%02d%02d", "road_line", "stream_line").alias("culvert_id"))
+    cells, grid = terrain(spark)
+    return {
+        "roads": vector.write_vector(layer(r, "road_rank"), f"{folder}/roads.gpkg"),
+        "streams": vector.write_vector(layer(s, "stream_order"), f"{folder}/streams.gpkg"),
+        "known": vector.write_vector(vector.of_points(known, "x", "y", epsg).drop("x", "y"), f"{folder}/known.gpkg"),
+        "dem": geotiff.write_raster(cells, grid, epsg, f"{folder}/dem.tif"),
+    }
+
+
 def queue(spark: SparkSession) -> DataFrame:
     """The whole path: candidates, labels, features, terrain, scores."""
     from ..operators import candidates as cand

@@ -60,6 +60,13 @@ def test_candidates_equal_those_of_segments(spark, built):
     assert key(got) == key(want)
 
 
+def test_demo_files(spark, tmp_path):
+    found = cli.main(["demo", "--out", f"{tmp_path}/queue", "--files", f"{tmp_path}/files"], spark)
+    assert found["rows"] > 10
+    counts = [vector.read_vector(spark, f"{tmp_path}/files/{n}.gpkg").count() for n in ("roads", "streams", "known")]
+    assert counts[:2] == [6, 4] and counts[2] > 3 and geotiff.open_raster(spark, f"{tmp_path}/files/dem.tif")[1].height == demo.SIZE
+
+
 def test_features_have_every_step(spark, built):
     df = spark.read.parquet(f"{built}/features")
     assert {"dist_to_known_culvert_m", "is_culvert", "distance_to_nearest_road_m", "road_density_500m_m_per_sqkm", "stream_density_m_per_sqkm", "elevation_m", "slope_degrees", "valley_depth_31x31_m", "topographic_wetness_proxy_9x9", "drainage_area_log", "drainage_area_rank_pct", "landcover_value", "training_sample_weight", "longitude", "x_m"} <= set(df.columns)
