@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_rank
 from ..storage import materialize, scope, scratch
 
 #: Bits of the hash that one histogram resolves, and histograms in all: 12 x 5 = 60 bits.
@@ -36,27 +37,24 @@ def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, most: int
     """From (source, source_size): the target of each source.
 
     Weights 1..cycle go round the sources by code point, null last.  The budget is the sum of all sizes; no target is above
-    ``most`` times its source, and what it can't take goes to the others by weight.  Poured like water: with sources by
-    rising capacity per weight, those are full that come before the first whose share of the rest fits.
-
-    The table has one row per source, so one task orders it; that holds for tens of millions of sources.
+    ``most`` times its source, and what it can't take goes to the others by weight.  Poured like water: those whose share is
+    above their limit are full, and the rest share what is left, until none more is; each step is one sum over the sources,
+    and a full one stays full, so there are few.
     """
-    by_name = Window.orderBy(F.col(source).asc_nulls_last())
-    w = F.col("_w")
-    rising = Window.orderBy((F.col("_cap").cast("double") / w), F.col("_n"))
-    before, after = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    s = sizes.withColumn("_n", F.row_number().over(by_name) - 1).withColumn("_w", (F.col("_n") % cycle + 1).cast("long")).withColumn("_cap", F.col("source_size") * most)
-    s = (
-        s.withColumn("_total", F.sum("source_size").over(everything))
-        .withColumn("_full", F.coalesce(F.sum("_cap").over(before), F.lit(0).cast("long")))
-        .withColumn("_rest_w", F.sum("_w").over(after))
-    )
-    share = ((F.col("_total") - F.col("_full")) * w).cast("double") / F.col("_rest_w")
-    s = s.withColumn("_fits", share <= F.col("_cap")).withColumn("_level", F.when(F.col("_fits"), F.struct("_full", F.col("_rest_w").alias("w"))))
-    s = s.withColumn("_level", F.min("_level").over(everything))
-    poured = ((F.col("_total") - F.col("_level._full")) * w).cast("double") / F.col("_level.w")
-    return s.select(source, "source_size", F.least(F.coalesce(poured, F.lit(0.0)), F.col("_cap").cast("double")).alias("target"))
+    ranked = global_rank(sizes, F.lit(0.0), [F.col(source).asc_nulls_last()], "_n")
+    weighed = ranked.withColumns({"_w": ((F.col("_n") - 1) % cycle + 1).cast("long"), "_cap": F.col("source_size") * most})
+    s, _ = materialize(weighed.select(source, "source_size", "_w", "_cap"), "mix-weights")
+    total, rest = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    full, share = 0, F.lit(0.0)
+    while rest:
+        share = (F.lit(total - full) * F.col("_w")).cast("double") / F.lit(rest)
+        over = share > F.col("_cap")
+        now, left = s.agg(F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0))).first()
+        if left == rest:
+            break
+        full, rest = now, left
+    poured = share if rest else F.col("_cap").cast("double")
+    return s.select(source, "source_size", F.least(poured, F.col("_cap").cast("double")).alias("target"))
 
 
 def thresholds(docs: DataFrame, goals: DataFrame, source: str = "_s") -> DataFrame:
