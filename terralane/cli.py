@@ -42,6 +42,11 @@ def _check(points: DataFrame, report: str = "", **options) -> DataFrame:
     return found
 
 
+def _point_only(points: DataFrame) -> DataFrame:
+    places = vector.points(vector.to_lon_lat(points)).drop("longitude", "latitude").withColumnsRenamed({"x": "longitude", "y": "latitude"})
+    return pointqc.point_only(places).drop("row")
+
+
 def _reports(lines: DataFrame) -> DataFrame:
     found, counts = reports.imported(lines)
     print(json.dumps(counts))
@@ -81,6 +86,7 @@ VERBS: dict[str, tuple[Callable[..., DataFrame], str]] = {
     "merge-candidates": (workflow.merge_candidates, "candidate tables one behind the other"),
     "union-candidates": (_merge_layers, "candidate tables with a column n one behind the other"),
     "add-field-candidates": (workflow.add_reports, "reported points as candidates"),
+    "point-only": (_point_only, "the points of a layer alone, numbered"),
     "check-points": (_check, "quality control of reported points"),
     "analyze-points": (pointqc.training_points, "points that pass quality control"),
     "merge-known": (_known, "known sites and confirmed observations"),

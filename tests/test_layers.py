@@ -172,6 +172,47 @@ def test_census_addresses():
     assert urls["roads"].endswith("/TIGER2024/ROADS/tl_2024_36111_roads.zip") and urls["counties"].endswith("tl_2024_us_county.zip")
 
 
+def zipped_shapes(kind: int, rows: list[tuple[dict, list]]) -> bytes:
+    """A zipped shapefile of lines (3) or polygons (5) of one part, with text attributes."""
+    records, names = b"", list(rows[0][0])
+    for i, (_, points) in enumerate(rows, 1):
+        body = struct.pack("<i4d2ii", kind, 0, 0, 0, 0, 1, len(points), 0) + b"".join(struct.pack("<2d", *p) for p in points)
+        records += struct.pack(">2i", i, len(body) // 2) + body
+    fields = b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([20]) + b"\0" * 15 for n in names)
+    table = struct.pack("<4BIHH", 3, 0, 0, 0, len(rows), 33 + 32 * len(names), 1 + 20 * len(names)) + b"\0" * 20 + fields + b"\r" + b"".join(b" " + b"".join(str(a[n]).encode().ljust(20) for n in names) for a, _ in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("t.shp", b"\0" * 100 + records)
+        z.writestr("t.dbf", table)
+        z.writestr("t.prj", 'GEOGCS["GCS_North_American_1983"]')
+    return out.getvalue()
+
+
+def test_census_and_server_downloads(spark, tmp_path):
+    """Through a stand-in for the network: each file is asked for once, then taken from the folder."""
+    ring = [(-74.2, 41.8), (-73.8, 41.8), (-73.8, 42.0), (-74.2, 42.0), (-74.2, 41.8)]
+    counties = zipped_shapes(5, [({"STATEFP": "36", "COUNTYFP": "111", "NAME": "Here", "GEOID": "36111"}, ring), ({"STATEFP": "36", "COUNTYFP": "001", "NAME": "There", "GEOID": "36001"}, ring)])
+    lines = zipped_shapes(3, [({"LINEARID": "1", "FULLNAME": "Main St", "MTFCC": "S1200"}, [(-74.1, 41.9), (-73.9, 41.9)]), ({"LINEARID": "2", "FULLNAME": "", "MTFCC": "S1400"}, [(-74.0, 41.85), (-74.0, 41.95)])])
+    asked = []
+
+    def opener(url, timeout):
+        asked.append(url)
+        return io.BytesIO(counties if "county" in url else lines)
+
+    for _ in range(2):
+        found = maps.fetch_census(spark, f"{tmp_path}/census", "36", "111", opener=opener)
+        assert plain(found["roads"], "id", "name", "highway") == [("1", "Main St", "S1200"), ("2", "2", "S1400")] and plain(found["boundary"], "NAME") == [("Here",)]
+        assert found["streams"].select("stream_order").distinct().first()[0] == 1
+    assert len(asked) == 3
+    with pytest.raises(ValueError, match="no county"):
+        maps.county_boundary(spark, f"{tmp_path}/counties", "36", "999", opener=opener)
+    way = {"type": "way", "id": 5, "tags": {"highway": "primary", "waterway": "stream"}, "geometry": [{"lat": 41.9, "lon": -74.5}, {"lat": 41.9, "lon": -73.5}]}
+    got = maps.fetch_server(spark, f"{tmp_path}/counties", "36", "111", opener=opener, ask=lambda u, q, t: json.dumps({"elements": [way]}))
+    assert got["roads"].count() == got["streams"].count() == 1 and got["boundary"].first()["GEOID"] in (36111, "36111")
+    with pytest.raises(ValueError, match="no roads"):
+        maps.fetch_server(spark, f"{tmp_path}/counties", "36", "111", opener=opener, ask=lambda u, q, t: '{"elements": []}')
+
+
 # --- JSON lines ---
 
 
