@@ -109,8 +109,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
         found, first = hashlib.sha256(), True
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(text.encode() if first else b"|" + text.encode())
-                first = False
+                if text is not None:
+                    found.update(text.encode() if first else b"|" + text.encode())
+                    first = False
         yield pa.RecordBatch.from_pydict({"fingerprint": [found.hexdigest()[:24]]})
 
-    return df.select(F.concat_ws(":", *fields).alias("r")).repartition(1).sortWithinPartitions("r").mapInArrow(digest, "fingerprint string")
+    nothing = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("r"))  # so that an empty set has a digest too
+    return df.select(F.concat_ws(":", *fields).alias("r")).unionByName(nothing).repartition(1).sortWithinPartitions("r").mapInArrow(digest, "fingerprint string")

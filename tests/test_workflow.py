@@ -149,6 +149,15 @@ def test_point_quality_control(spark, built, tmp_path):
 # --- Small operators ---
 
 
+def test_an_empty_set_has_a_digest(spark):
+    import hashlib
+
+    from terralane.operators import observations
+
+    none = spark.createDataFrame([], "observation_id string, status string")
+    assert observations.fingerprint(none).first()["fingerprint"] == hashlib.sha256(b"").hexdigest()[:24]
+
+
 def test_probabilities_by_place(spark):
     a = spark.createDataFrame([(i, i * 10) for i in range(20)], "n int, v int")
     b = spark.createDataFrame([(i, i / 20) for i in range(20)], "n int, culvert_probability double")
@@ -238,7 +247,14 @@ def test_holdouts_are_whole_and_stratified(spark, labelled):
     assert sorted((r["is_culvert"], r["count"]) for r in by) == sorted([(0, n) for n in (39, 39, 38, 38, 38)] + [(1, n) for n in (10, 10, 10, 9, 9)])
 
 
-def test_training_compares_families(spark, labelled):
+def test_every_family_fits(spark, labelled):
+    for family in models.FAMILIES:
+        model = models.fit(labelled, ["signal", "noise"], family, scale=0.005)
+        assert models.predict(labelled.limit(5), model, ["signal", "noise"]).count() == 5 and models.importance(model, ["signal", "noise"])[0][0] == "signal"
+
+
+def test_training_compares_families(spark, labelled, monkeypatch):
+    monkeypatch.setattr(models, "FAMILIES", {f: models.FAMILIES[f] for f in ("logistic", "extra_trees")})
     model, report = models.train(labelled, scale=0.01)
     assert set(report["model_comparison"]) == {"baseline", *models.FAMILIES} and report["family"] in models.FAMILIES
     assert report["model_comparison"]["baseline"]["average_precision"] == pytest.approx(0.2)
