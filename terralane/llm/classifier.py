@@ -92,20 +92,22 @@ def gumbel(doc_id: str = "doc_id", seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """*keep, n_features, log_ratio of each whole text; 0 and 0 for null and empty ones."""
+def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """*keep, n_features, log_ratio of each whole text; 0 and 0 for null and empty ones.  A text that is kept is sent once."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_features", T.LongType()), T.StructField("log_ratio", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers
+    columns = [*keep, *([] if text in keep else [text])]
+    at = columns.index(text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        for batch in batches:
-            for first, bucket, row, n in features(batch.column(0)):
-                part = batch.slice(first, n)
+        for batch in words.tidy(batches):
+            for first, bucket, row, n in features(batch.column(at)):
                 total, size = np.bincount(row, weights=w[bucket], minlength=n), np.bincount(row, minlength=n)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(size.astype(np.int64)), pa.array(total)], schema.names)
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(size.astype(np.int64)), pa.array(total)], schema.names)
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(add, schema)
+    return docs.select(*columns).mapInArrow(add, schema)
 
 
 def kth_highest(table: DataFrame, key: str, k: int) -> float:
@@ -158,5 +160,7 @@ def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     """
     weights, _, path, last = _threshold(docs, labels, fit_rows)
     remove(docs.sparkSession, path)
-    wide = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return _keyed(score(wide, weights, ("doc_id", "row"))).where(F.col("gumbel_key") >= F.lit(last)).select("row.*")
+    places = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    wide = docs.select("doc_id", *[F.col(f"`{c}`").alias(k) for k, c in places.items()])
+    scored = _keyed(score(wide, weights, ("doc_id", *places), f"c{docs.columns.index('text')}"))
+    return scored.where(F.col("gumbel_key") >= F.lit(last)).select(*[F.col(k).alias(c) for k, c in places.items()])

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ OFFSET = 40
 #: Estimates under this share of the wanted similarity are not verified: at 256 registers, 4 standard deviations below.
 SLACK = 0.875
 BLOCK_ROWS = 1000
+#: Classes in groups of several rows (three numbers each) up to which they are sent to every executor.
+SENT_CLASSES = 1_000_000
 #: Similarity from 32-bit hashes is within this of the true one.
 UNSURE = 0.005
 #: Orders by which a group's representatives are chosen: class ids xor each of these.
@@ -153,15 +155,20 @@ def set_digest(shingle: np.ndarray) -> int:
     return int(_salted(shingle, 1).sum(dtype=np.uint64).view(np.int64))
 
 
-def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (two halves of the set's 128-bit digest, null if empty), registers, *keep."""
+def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, d1 and d2 (two halves of the set's 128-bit digest, null if empty), registers, *keep.
+
+    A text that is kept is sent once.
+    """
     kept = [df.schema[c] for c in keep]
     own = [df.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")), T.StructField("registers", T.BinaryType())]
     schema = T.StructType([*own, *kept])
+    columns = ["doc_id", *keep, *([] if text in keep else [text])]
+    at = columns.index(text)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, shingle, bounds in shingle_sets(batch.column(1), k):
+        for batch in words.tidy(batches):
+            for first, shingle, bounds in shingle_sets(batch.column(at), k):
                 n = np.diff(bounds)
                 rows = len(n)
                 reg = registers(minima(shingle, bounds))
@@ -171,9 +178,9 @@ def sketches(df: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
                     np.cumsum(_salted(shingle, salt), out=total[1:])
                     halves.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64), mask=n == 0))
                 part = batch.slice(first, rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *halves, pa.array([r.tobytes() for r in reg], pa.binary()), *part.columns[2:]], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *halves, pa.array([r.tobytes() for r in reg], pa.binary()), *part.columns[1 : 1 + len(keep)]], schema.names)
 
-    return df.select("doc_id", "text", *keep).mapInArrow(make, schema)
+    return df.select(*columns).mapInArrow(make, schema)
 
 
 def band_keys(reg: np.ndarray) -> np.ndarray:
@@ -236,7 +243,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.tidy(batches):
             for start, stop in words.row_slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
                 sets: list[np.ndarray] = []
@@ -286,10 +293,9 @@ def across(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     change nothing.  Pairs too close to tell come out too; all are verified on full sets later.
     """
     least = percent / 100 * SLACK
-    by = Window.partitionBy("band", "component")
-    sized = groups.withColumn("n", F.count("*").over(by))
-    main = sized.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("all"))
-    rows = sized.join(main, "band").select("band", "cls", "component", (F.col("component") != F.col("m.component")).alias("odd"), "all", (F.col("all") - F.col("m.n")).alias("odds"))
+    counts = groups.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    rows = groups.join(main, "band").select("band", "cls", "component", (F.col("component") != F.col("m.component")).alias("odd"), "all", (F.col("all") - F.col("m.n")).alias("odds"))
     cells = lambda c: F.ceil(F.col(c) / BLOCK_ROWS)
     home = lambda c: F.pmod(F.xxhash64("cls"), cells(c)).cast("int")
     every = lambda c: F.sequence(F.lit(0), (cells(c) - 1).cast("int"))
@@ -383,40 +389,45 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, keep: tuple[st
     """
     if clash := set(keep) & {"n_shingles", "component_id", "kept", "one"}:
         raise ValueError(f"the result has columns of these names already: {', '.join(sorted(clash))}")
-    keep = tuple(c for c in keep if c != "doc_id")
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
-    out = _grouped(df.select("doc_id", "text", row.alias("_row")), k, percent)
-    return out.select(*([F.col("_row.*")] if keep else []), "doc_id", "n_shingles", "component_id", "kept", "one")
+    places = {f"c{i}": c for i, c in enumerate(c for c in keep if c != "doc_id")}
+    out = _grouped(df.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for p, c in places.items()]), k, percent, tuple(places))
+    return out.select(*[F.col(p).alias(c) for p, c in places.items()], "doc_id", "n_shingles", "component_id", "kept", "one")
 
 
 def representatives(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of :func:`near_duplicates`, and all rows in no group, with all their columns, whatever these are called."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return _grouped(df.select("doc_id", "text", row.alias("_row")), k, percent).where("one").select("_row.*")
+    places = {f"c{i}": c for i, c in enumerate(df.columns)}
+    out = _grouped(df.select("doc_id", *[F.col(f"`{c}`").alias(p) for p, c in places.items()]), k, percent, tuple(places), f"c{df.columns.index('text')}")
+    return out.where("one").select(*[F.col(p).alias(c) for p, c in places.items()])
 
 
-def _grouped(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """From (doc_id, text, _row): doc_id, _row, n_shingles, component_id, kept, one."""
+def _grouped(df: DataFrame, k: int, percent: int, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """From doc_id, the text and the kept columns: doc_id, *keep, n_shingles, component_id, kept, one."""
     spark = df.sparkSession
     with scratch(spark) as left:
-        table, path = materialize(sketches(df, k, ("_row",)).withColumn("_n", F.monotonically_increasing_id()), "sketches")
+        table, path = materialize(sketches(df, k, keep, text).withColumn("_n", F.monotonically_increasing_id()), "sketches")
         left.add(path)
         table = table.withColumn("cls", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2", "n_shingles")))
-        grouped = table.where("d1 is not null and doc_id is not null").groupBy("cls")
-        classes, _ = materialize(grouped.agg(F.min("doc_id").alias("rep"), F.first("d1").alias("d1"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-        found = class_components(df, classes, k, percent)
-        comp = F.coalesce("component", "cls")
-        mapped = classes.select("cls", "rep").join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", comp.alias("component"))
-        names, _ = materialize(mapped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct("rep", "cls")).alias("head")), "names")
+        grouped = table.where("d1 is not null").groupBy("cls")
+        first = lambda c: F.first(c).alias(c)
+        classes, _ = materialize(grouped.agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *map(first, ("d1", "n_shingles", "registers"))).where("rep is not null"), "classes")
+        found = class_components(df.select("doc_id", F.col(text).alias("text")), classes, k, percent)
+        comp = F.coalesce("component", "cls").alias("component")
+        mapped = classes.select("cls", "rep", "rows").join(found, F.col("cls") == F.col("node"), "left").select("cls", "rep", "rows", comp)
+        # Only groups of several rows need a name; a row that is alone in its group stands for itself.
+        names = mapped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("cls", F.struct("rep", "cls")).alias("head"), F.sum("rows").alias("rows")).where("rows > 1")
+        names, _ = materialize(names.drop("rows"), "names")
         # The row that stands for a group: the first of its head class's rows with the group's id.
         heads = table.select("cls", "doc_id", "_n").join(names.select(F.col("head").alias("cls"), "component_id"), "cls").where("doc_id = component_id")
         firsts = heads.groupBy("cls").agg(F.min("_n").alias("first_row"))
-        named, path = materialize(mapped.join(names.drop("head"), "component").select("cls", "component_id").join(firsts, "cls", "left"), "named")
+        named, path = materialize(mapped.select("cls", "component").join(names.drop("head"), "component").select("cls", "component_id").join(firsts, "cls", "left").withColumn("named", F.lit(True)), "named")
         left.add(path)
+        if named.count() <= SENT_CLASSES:  # then rows with their texts stay where they are; beyond, Spark's own choice of join
+            named = F.broadcast(named)
     out = table.join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    one = F.when(F.col("cls").isNull() | F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("_n") == F.col("first_row"), F.lit(False)))
-    return out.select("doc_id", "_row", "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))
+    one = F.when(F.col("named").isNull(), True).otherwise(F.coalesce(F.col("_n") == F.col("first_row"), F.lit(False)))
+    return out.select("doc_id", *keep, "n_shingles", "component_id", kept.alias("kept"), one.alias("one"))
 
 
 #: Rows of near_duplicates(k=2, percent=80) for tables whose ids are unique.

@@ -46,7 +46,7 @@ TOKENS_PER_SHARD = 16_000_000
 #: Entries that a task's counts may hold before they are merged.
 MERGE_AT = 3_000_000
 #: Blocks of words that are looked up together.
-TOGETHER = 2
+TOGETHER = 4
 #: Bytes of shards that a worker keeps of a store that it cannot map.
 HELD_BYTES = 256 << 20
 END = np.uint64(0)

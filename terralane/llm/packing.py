@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..storage import materialize
 from .tokens import byte_slices, default_tokenizer_path, encoder
+from .words import tidy
 
 #: Rows of a plan (48 bytes each) up to which it is sent to every executor.
 BROADCAST_ROWS = 500_000
@@ -42,7 +43,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in tidy(batches):
             for at, stop in byte_slices(batch.column(1)):
                 rows, out = [], []
                 ids, bounds = enc.batch(batch.column(1).slice(at, stop - at).to_pylist())

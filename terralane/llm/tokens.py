@@ -88,10 +88,8 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._special = tuple(special)
         self._end = 1 + max([*ranks.values(), *special.values()])
-        self._alone, self._joined = (
-            [tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens=tokens) for pattern in (PLAIN_PATTERN, BYTE_LEVEL_PATTERN)]
-            for tokens in (special, special | {SEPARATOR: self._end})
-        )
+        self._own, every = set(special), special | {SEPARATOR: self._end}
+        self._joined = [tiktoken.Encoding("joined", pat_str=pattern, mergeable_ranks=ranks, special_tokens=every) for pattern in (PLAIN_PATTERN, BYTE_LEVEL_PATTERN)]
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text as unsigned 32-bit numbers."""
@@ -133,7 +131,8 @@ class Encoder:
         return np.concatenate(found) if found else np.zeros(0, np.uint32), bounds
 
     def _encode(self, part: str) -> np.ndarray:
-        return self._alone[_TWO_SPACES.search(part) is not None].encode_to_numpy(part, allowed_special="all")
+        """Ids of a text that is encoded alone, in which the separator is ordinary text."""
+        return self._joined[_TWO_SPACES.search(part) is not None].encode_to_numpy(part, allowed_special=self._own, disallowed_special=())
 
 
 def parts(text: str, special: tuple[str, ...] = (), size: int | None = None) -> list[str]:

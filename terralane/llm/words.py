@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -62,6 +62,12 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; when a task has read its last, memory that Arrow keeps for more goes back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 class Block:
     """Some rows' words: ``hashes`` in order, those of row r at ``bounds[r]:bounds[r+1]``."""
 

@@ -478,8 +478,9 @@ def brute_components(rows: list[tuple], k: int, percent: int) -> dict:
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(docs, rows, k):
+@pytest.mark.parametrize(("k", "sent"), [(2, dedup.SENT_CLASSES), (5, dedup.SENT_CLASSES), (5, 0)])
+def test_near_duplicates(docs, rows, monkeypatch, k, sent):
+    monkeypatch.setattr(dedup, "SENT_CLASSES", sent)
     named = [r for r in rows if r[0] is not None]
     want = brute_components(named, k, 80)
     got = dedup.near_duplicates(docs, k, 80).collect()
