@@ -11,6 +11,17 @@ from terralane.llm import classifier, dedup, mixing, packing, quality
 from terralane.storage import remove, settle
 
 
+#: Rows in an Arrow batch: with documents of some kilobytes a batch then holds some megabytes, in the JVM and in Python.
+ARROW_ROWS = 2000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ARROW_ROWS, unless it was given a size of its own: 10,000 is the engine's default."""
+    if int(spark.conf.get(_ROWS_SETTING, "10000")) == 10_000:
+        spark.conf.set(_ROWS_SETTING, str(ARROW_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules adapted to their language and source.
 
@@ -26,6 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Ties with the last one kept stay, so repeated rows share a verdict; without labels all stay; null ids share one noise
     value; null and empty texts have ratio 1; long texts are scored whole; an empty table gives no rows.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.sampled(docs, labels)
 
@@ -36,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows the first in storage stays; documents without words or without an id that no other has a copy of stay;
     long texts are shingled whole; an empty table gives no rows.
     """
+    small_batches(spark)
     return dedup.representatives(docs, k=5, percent=80)
 
 
@@ -54,6 +67,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is its end id alone; repeated rows and null ids are packed like others; a long text is encoded whole
     and cut into pieces; an empty table gives no rows.
     """
+    small_batches(spark)
     return packing.pack(docs, max_len=2048)
 
 
