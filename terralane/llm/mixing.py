@@ -18,6 +18,8 @@ from ..storage import materialize, scope, scratch
 #: Bits of the hash that one histogram resolves, and histograms in all: 12 x 5 = 60 bits.
 BITS, LEVELS = 12, 5
 MAX_REPEATS = 3
+#: Sources up to which their sizes are summed on the driver; beyond, in as many jobs as it takes.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -41,15 +43,27 @@ def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, most: int
     above their limit are full, and the rest share what is left, until none more is; each step is one sum over the sources,
     and a full one stays full, so there are few.
     """
-    ranked = global_rank(sizes, F.lit(0.0), [F.col(source).asc_nulls_last()], "_n")
-    weighed = ranked.withColumns({"_w": ((F.col("_n") - 1) % cycle + 1).cast("long"), "_cap": F.col("source_size") * most})
-    s, _ = materialize(weighed.select(source, "source_size", "_w", "_cap"), "mix-weights")
-    total, rest = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    few = sizes.count() <= FEW_SOURCES
+    if few:
+        ranked = sizes.withColumn("_n", F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())))  # counted
+    else:
+        ranked = global_rank(sizes, F.lit(0.0), [F.col(source).asc_nulls_last()], "_n")
+    s = ranked.select(source, "source_size", ((F.col("_n") - 1) % cycle + 1).cast("long").alias("_w"), (F.col("source_size") * most).alias("_cap"))
+    if few:
+        rows = [(r["_w"], r["_cap"], r["source_size"]) for r in s.collect()]  # counted
+        total, rest = sum(r[2] for r in rows), sum(r[0] for r in rows)
+    else:
+        s, _ = materialize(s, "mix-weights")
+        total, rest = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
     full, share = 0, F.lit(0.0)
     while rest:
         share = (F.lit(total - full) * F.col("_w")).cast("double") / F.lit(rest)
-        over = share > F.col("_cap")
-        now, left = s.agg(F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0))).first()
+        if few:
+            over = [float((total - full) * w) / float(rest) > cap for w, cap, _ in rows]
+            now, left = sum(r[1] for r, o in zip(rows, over, strict=True) if o), sum(r[0] for r, o in zip(rows, over, strict=True) if not o)
+        else:
+            above = share > F.col("_cap")
+            now, left = s.agg(F.coalesce(F.sum(F.when(above, F.col("_cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("_w"))), F.lit(0))).first()
         if left == rest:
             break
         full, rest = now, left

@@ -114,7 +114,9 @@ def test_chat_chunks_continue(spark, monkeypatch):
 # --- 2 Mixing ---
 
 
-def test_targets_are_poured(spark):
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_targets_are_poured(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 400), ("e", 0)], "s string, source_size long")
     got = {r["s"]: r["target"] for r in mixing.targets(df, "s").collect()}
     weights, caps = {"a": 1, "b": 2, "c": 3, "e": 1, None: 2}, {"a": 30, "b": 3000, "c": 15, "e": 0, None: 1200}
