@@ -64,6 +64,8 @@ EVIDENCE = (
     ("field_corridor_support_score", "field-confirmed culvert corridor", 0.3),
 )
 WEAK_EVIDENCE = "weak evidence; review only if nearby"
+#: Scores that differ beyond this digit only, by the order of a sum, are tied in the queue.
+RANK_DIGITS = 9
 
 
 def proximity(df: DataFrame) -> Column:
@@ -165,7 +167,7 @@ def score_candidates(df: DataFrame, weights: dict[str, float] | None = None, tie
     out = component_scores(df)
     score = F.when(flag_is_one(df, "is_culvert") | flag_is_one(df, "field_denied"), 0.0).otherwise(weighted_score(out, weights or WEIGHTS))
     out = out.withColumn("culvert_likelihood_score", score)
-    out = global_rank(out, F.col("culvert_likelihood_score"), [F.col(tie_break)], "priority_rank")
+    out = global_rank(out, F.round("culvert_likelihood_score", RANK_DIGITS), [F.col(tie_break)], "priority_rank")
     out = out.crossJoin(F.broadcast(out.agg(F.count("*").alias("_all"))))  # one row, counted from the table that ranking wrote
     return out.withColumns(
         {
